@@ -128,7 +128,8 @@ _NAMES = """names AS (SELECT DISTINCT 'historical_' || strftime(date_trunc('mont
 
 def _file_names(df, day, status=None):
     """Names of monthly exports, as a listing would give them."""
-    month = F.date_trunc("month", F.col(day))
+    keys = [F.date_trunc("month", F.col(day)).alias("month")] + ([F.col(status)] if status else [])
+    df, month = df.select(*keys).distinct(), F.col("month")
     suffix = F.lit(".csv") if status is None else (
         F.when(F.col(status) == "F", ".csv").when(F.col(status) == "O", ".json").otherwise(".txt"))
     stamp = lambda t: F.date_format(t, "yyyyMMdd")

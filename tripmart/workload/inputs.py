@@ -6,6 +6,8 @@ Every line item becomes one raw ride record, so the derived tables grow with the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that lies in one file of one row group would be read by one task; hand its rows to all cores.
+
+    A table of several files is left as it is, without a shuffle.
+    """
+    if len(df.inputFiles()) > 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def ride_options(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(*r, True, None) for r in RIDE_OPTIONS],
@@ -58,39 +70,45 @@ def _text(*parts) -> Column:
 
 
 def raw_rides(lineitem: DataFrame) -> DataFrame:
-    """One ride record per line item, timestamps still text. A map-only projection."""
+    """One ride record per line item, timestamps still text. Map-only, in steps so that nothing is computed twice."""
     order, part, supp, line = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    done = F.col("l_returnflag") != "R"
+    discount, tax = F.col("l_discount"), F.col("l_tax")
+    rate = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in RIDE_OPTIONS]), F.col("option"))
+    iso = lambda t: F.replace(t.cast("string"), F.lit(" "), F.lit("T"))
+    rush = F.hour("booked").between(7, 9) | F.hour("booked").between(17, 20)
+
+    steps = lineitem.withColumns({
+        "done": F.col("l_returnflag") != "R",
+        "booked": F.col("l_shipdate") + F.make_dt_interval(hours=(order % 24).cast("int"), mins=line * 7),
+        "option": (F.lit(1) + part % 6).cast("int"),
+        "km": F.col("l_quantity") * F.when(line == 7, 8.0).otherwise(2.0),
+        "pickup_city": _text("TH-", F.lit(10) + supp % 81),
+    }).withColumns({
+        "minutes": F.ceil(F.col("km") / (F.lit(15.0) + tax * 1000.0) * 60.0).cast("int"),
+        "surge": F.when(rush | (discount == 0.1), 1.5).otherwise(1.0),
+    }).withColumns({
+        "base": rate(4), "distance": F.col("km") * rate(5), "time": F.col("minutes") * rate(6),
+    }).withColumn(
+        "sub", (F.col("base") + F.col("distance") + F.col("time")) * F.col("surge")
+    ).withColumn(
+        "tip", F.floor(F.col("sub") * discount).cast("double"))
+
+    done, booked, km, minutes, city = (F.col(c) for c in ("done", "booked", "km", "minutes", "pickup_city"))
     when_done = lambda value, otherwise: F.when(done, value).otherwise(F.lit(otherwise))
-    hour = (order % 24).cast("int")
-    booked = F.col("l_shipdate") + F.make_dt_interval(hours=hour, mins=(line * 7).cast("int"))
-    option = (F.lit(1) + part % 6).cast("int")
-    rate = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in RIDE_OPTIONS]), option)
-    km = F.col("l_quantity") * F.when(line == 7, 8.0).otherwise(2.0)
-    speed = F.lit(15.0) + F.col("l_tax") * 1000.0
-    minutes = F.ceil(km / speed * 60.0).cast("int")
-    rush = F.hour(booked).between(7, 9) | F.hour(booked).between(17, 20)
-    late = F.when(F.col("l_tax") == 0.07, 1).otherwise(0)
-    surge = F.when(rush | (F.col("l_discount") == 0.1), 1.5).otherwise(1.0)
-    base, distance, time = rate(4), km * rate(5), minutes * rate(6)
-    subtotal = (base + distance + time) * surge
-    tip = F.floor(subtotal * F.col("l_discount")).cast("double")
-    total = subtotal + tip + F.when(F.col("l_tax") == 0.08, 1.0).otherwise(0.0)
-    iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    late = F.when(tax == 0.07, 1).otherwise(0)
     pickup_lat, lon = F.lit(13.0) + (supp % 50) / 10.0, F.lit(100.0) + (supp % 7) / 10.0
-    pickup_city = _text("TH-", F.lit(10) + supp % 81)
     fields = {
         "ride_id": _text("R", order, "-", line),
         "booker_id": _text("B", part), "driver_id": _text("D", supp), "vehicle_id": _text("V", supp),
         "ride_status_id": when_done(F.lit(1), 2),
-        "pickup_city_id": pickup_city,
-        "dropoff_city_id": F.when(F.col("l_linestatus") == "O", pickup_city)
-                            .otherwise(_text("TH-", F.lit(10) + part % 81)),
-        "ride_option_id": option, "payment_method_id": F.lit(1) + order % 5,
+        "pickup_city_id": city,
+        "dropoff_city_id": F.when(F.col("l_linestatus") == "O", city).otherwise(_text("TH-", F.lit(10) + part % 81)),
+        "ride_option_id": F.col("option"), "payment_method_id": F.lit(1) + order % 5,
         "booking_timestamp": iso(booked),
         "pickup_latitude": pickup_lat, "pickup_longitude": lon,
         "pickup_address": _text("No. ", line, ", Road ", supp, ", \"", F.col("l_returnflag"), "\""),
-        "dropoff_latitude": pickup_lat + km / 166.8, "dropoff_longitude": lon + F.when(line == 5, 0.2).otherwise(0.0),
+        "dropoff_latitude": pickup_lat + km / 166.8,
+        "dropoff_longitude": lon + F.when(line == 5, 0.2).otherwise(0.0),
         "dropoff_address": _text("No. ", line, ", Road ", part),
         "booker_name": _text("Booker ", part, " ", F.col("l_linestatus")),
         "booker_email": _text("b", part, "@example.com"),
@@ -98,43 +116,69 @@ def raw_rides(lineitem: DataFrame) -> DataFrame:
         "driver_name": _text("Driver ", supp), "driver_phone": _text("09", F.lpad(supp.cast("string"), 8, "0")),
         "driver_license": F.lpad(supp.cast("string"), 8, "0"),
         "vehicle_license_plate": _text("P", supp, F.col("l_linestatus")),
-        "cancellation_reason_id": F.when(done, F.when((line == 3) & (F.col("l_tax") == 0.0), 2).otherwise(1))
+        "cancellation_reason_id": F.when(done, F.when((line == 3) & (tax == 0.0), 2).otherwise(1))
                                    .otherwise(F.when(line == 6, F.lit(1)).otherwise(F.lit(2) + part % 6)),
         "travel_distance_km": when_done(km, 0.0), "duration_minutes": when_done(minutes, 0),
         "passenger_count": F.when(done, F.lit(1) + supp % 10)
-                            .otherwise(F.when(F.col("l_discount") == 0.1, 1).otherwise(0)),
+                            .otherwise(F.when(discount == 0.1, 1).otherwise(0)),
         "pickup_timestamp": F.when(done, iso(booked)),
         "dropoff_timestamp": F.when(done, iso(booked + F.make_dt_interval(mins=minutes + late))),
         "driver_rating": F.when(done, (F.lit(35) + supp % 17) / 10.0),
-        "rating": F.when(done & (F.col("l_tax") != 0.05), F.lit(1) + part % 5),
-        "base_fare": when_done(base, 0.0), "distance_fare": when_done(distance, 0.0),
-        "time_fare": when_done(time, 0.0), "surge_multiplier": when_done(surge, 1.0),
-        "subtotal": when_done(subtotal, 0.0), "tip_amount": when_done(tip, 0.0),
-        "total_fare": when_done(total, 0.0),
+        "rating": F.when(done & (tax != 0.05), F.lit(1) + part % 5),
+        "base_fare": when_done(F.col("base"), 0.0), "distance_fare": when_done(F.col("distance"), 0.0),
+        "time_fare": when_done(F.col("time"), 0.0), "surge_multiplier": when_done(F.col("surge"), 1.0),
+        "subtotal": when_done(F.col("sub"), 0.0), "tip_amount": when_done(F.col("tip"), 0.0),
+        "total_fare": when_done(F.col("sub") + F.col("tip") + F.when(tax == 0.08, 1.0).otherwise(0.0), 0.0),
     }
-    return lineitem.select(*[fields[f.name].cast(f.dataType).alias(f.name) for f in RIDE.fields])
+    return steps.select(*[fields[f.name].cast(f.dataType).alias(f.name) for f in RIDE.fields])
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> DataFrame:
+    """A layer table as a job would find it: written once per session to the shared folder, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = work_dir(spark, name)
+        write(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
 
 
 def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_rides(table(spark, sf_dir, "lineitem"))
+    """Bronze: raw ride records."""
+    def write(path: str) -> None:
+        raw_rides(spread(table(spark, sf_dir, "lineitem"), "l_orderkey")).write.parquet(path)
+    return stored(spark, sf_dir, "rides", write)
 
 
 def silver_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Silver rows; all come from one load, so the load time is the same for all."""
-    return silver.conform(rides(spark, sf_dir))
-
-
-_facts: dict[tuple[str, str], str] = {}
+    return stored(spark, sf_dir, "silver",
+                  lambda path: silver.conform(rides(spark, sf_dir)).write.parquet(path))
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ride fact as a written table, built once per session, as reports would find it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _facts:
-        path = work_dir(spark, "fact_rides")
-        gold.write_fact(gold.fact_rides(silver_rides(spark, sf_dir)), path)
-        _facts[key] = path
-    return spark.read.parquet(_facts[key]).drop("booking_month")
+    """Gold: the ride fact, in folders by booking month."""
+    return stored(spark, sf_dir, "fact_rides",
+                  lambda path: gold.write_fact(gold.fact_rides(silver_rides(spark, sf_dir)), path)
+                  ).drop("booking_month")
+
+
+def dim(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Gold: a dimension."""
+    if name == "dim_ride_status":
+        return statuses(spark)
+    if name == "dim_cancellation_reason":
+        return reasons(spark)
+    builders = {
+        "dim_province": lambda: gold.static_dim(provinces(spark, sf_dir), name),
+        "dim_ride_option": lambda: gold.versioned_dim(option_log(spark, sf_dir), name),
+        "dim_payment_method": lambda: gold.versioned_dim(payment_log(spark, sf_dir), name),
+    }
+    build = builders.get(name, lambda: gold.person_dim(silver_rides(spark, sf_dir), name))
+    return stored(spark, sf_dir, name, lambda path: build().write.parquet(path))
 
 
 def option_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tripmart.functions.columns import band
 from tripmart.operators.asof import asof_join
-from tripmart.plans import audits, gold, marts
+from tripmart.plans import audits, marts
 from tripmart import rules
 from tripmart.workload import inputs
 from tripmart.workload.inputs import table
@@ -130,7 +130,7 @@ def cross_province_share(spark, sf_dir):
     tips / sub AS tip_rate FROM g""")
 def option_revenue(spark, sf_dir):
     """Revenue per option and by whether the option was active when booked."""
-    dim = gold.versioned_dim(inputs.option_log(spark, sf_dir), "dim_ride_option")
+    dim = inputs.dim(spark, sf_dir, "dim_ride_option")
     fact = inputs.fact(spark, sf_dir).select("ride_option_id", "booking_timestamp", "ride_status_id", "total_fare",
                                              "tip_amount", "subtotal")
     joined = asof_join(fact, dim, "ride_option_id", "booking_timestamp", ["ride_option_name", "is_active"],
@@ -298,6 +298,6 @@ def popular_provinces(spark, sf_dir):
     WHERE pickup_city_id NOT IN (SELECT province_id FROM dim_province) GROUP BY pickup_city_id""")
 def ref_integrity(spark, sf_dir):
     """Raw rides: repeated ids, and provinces that the reference table lacks."""
-    provinces = gold.static_dim(inputs.provinces(spark, sf_dir), "dim_province")
+    provinces = inputs.dim(spark, sf_dir, "dim_province")
     return audits.integrity(inputs.rides(spark, sf_dir), [
         ("dropoff_city_id", provinces, "province_id"), ("pickup_city_id", provinces, "province_id")])

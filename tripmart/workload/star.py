@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tripmart.functions.columns import calendar
 from tripmart.operators.asof import asof_join
 from tripmart.operators.changes import latest_snapshot
 from tripmart.operators.history import history, rebuild_touched
 from tripmart.operators.joins import Dim, star_join
 from tripmart.operators.latest import first_seen, latest, upsert
 from tripmart.plans import gold
-from tripmart.schemas import FACT
 from tripmart.workload import inputs
 from tripmart.workload.inputs import table
 from tripmart.workload.registry import query
@@ -109,7 +109,6 @@ def fact_rides(spark, sf_dir):
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS booking_date, "
        "CAST(hour(o_orderdate) AS INTEGER) AS booking_hour FROM orders")
 def fact_build(spark, sf_dir):
-    from tripmart.functions.columns import calendar
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                                  *calendar("o_orderdate"))
 
@@ -123,7 +122,7 @@ _ASOF_OPTION = """SELECT f.ride_id, f.ride_option_id, f.booking_timestamp, d.is_
 def asof_dim(spark, sf_dir):
     """Each ride with its option as valid at booking; the dimension is small, so the rides stay in place."""
     fact = inputs.fact(spark, sf_dir).select("ride_id", "ride_option_id", "booking_timestamp")
-    dim = gold.versioned_dim(inputs.option_log(spark, sf_dir), "dim_ride_option")
+    dim = inputs.dim(spark, sf_dir, "dim_ride_option")
     return asof_join(fact, dim, "ride_option_id", "booking_timestamp", ["is_active", "per_km"], before_first="null")
 
 
@@ -194,15 +193,8 @@ def star(spark, sf_dir):
         {"customer_n_name": "customer_nation", "supplier_n_name": "supplier_nation"})
 
 
-def dims(spark, sf_dir):
-    rides = inputs.silver_rides(spark, sf_dir)
-    return {
-        **{name: gold.person_dim(rides, name) for name in ("dim_booker", "dim_driver", "dim_vehicle")},
-        "dim_province": gold.static_dim(inputs.provinces(spark, sf_dir), "dim_province"),
-        "dim_ride_status": inputs.statuses(spark), "dim_cancellation_reason": inputs.reasons(spark),
-        "dim_ride_option": gold.versioned_dim(inputs.option_log(spark, sf_dir), "dim_ride_option"),
-        "dim_payment_method": gold.versioned_dim(inputs.payment_log(spark, sf_dir), "dim_payment_method"),
-    }
+DIMS = ["dim_booker", "dim_driver", "dim_vehicle", "dim_province", "dim_ride_status", "dim_cancellation_reason",
+        "dim_ride_option", "dim_payment_method"]
 
 
 def _cte_person(name: str, columns: list[str]) -> str:
@@ -231,4 +223,4 @@ def _cte_person(name: str, columns: list[str]) -> str:
       OVER (PARTITION BY payment_method_id ORDER BY __START_AT) = 1) pe ON pe.payment_method_id = f.payment_method_id
     """)
 def ride_star(spark, sf_dir):
-    return gold.ride_star(inputs.fact(spark, sf_dir), dims(spark, sf_dir))
+    return gold.ride_star(inputs.fact(spark, sf_dir), {d: inputs.dim(spark, sf_dir, d) for d in DIMS})
