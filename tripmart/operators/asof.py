@@ -2,7 +2,7 @@
 
 Two plans, chosen by a checked size of the version table:
 
-* small: broadcast, equi key plus validity range; the rows are not shuffled at all;
+* small, with few versions per key: broadcast, equi key plus validity range; the rows are not shuffled at all;
 * large: rows and versions are put in one ordered line per key and the last version seen is carried forward.
   That is one shuffle and one sort and never pairs the rows of a key with the versions of a key. Hot keys are
   cut into time chunks; each chunk starts with the version carried over from the chunks before it.
@@ -23,6 +23,9 @@ from tripmart.operators.sizing import (
 
 EARLIEST, NULL = "earliest", "null"
 
+# A row is compared with every version of its key in the broadcast plan, so this bounds its work per row.
+VERSIONS_PER_KEY = 500
+
 
 def asof_join(rows: DataFrame, versions: DataFrame, keys: str | Sequence[str], at: str,
               columns: Sequence[str], start: str = START, end: str = END,
@@ -38,11 +41,15 @@ def asof_join(rows: DataFrame, versions: DataFrame, keys: str | Sequence[str], a
     keys = _as_list(keys)
     bounds = [c for c in (start, end) if c not in columns]
     needed = versions.select(*keys, *columns, *bounds)
-    if fits(needed, broadcast_rows):
+    if fits(needed, broadcast_rows) and _few_per_key(needed, keys):
         return _by_broadcast(rows, needed, keys, at, columns, start, end, before_first)
     return _by_carrying(rows, needed, keys, at, columns, start, end, before_first, rows_per_chunk)
 
 
+def _few_per_key(versions: DataFrame, keys: Sequence[str]) -> bool:
+    return versions.groupBy(*keys).count().where(F.col("count") > VERSIONS_PER_KEY).isEmpty()
+
+
 def _by_broadcast(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at: str,
                   columns: Sequence[str], start: str, end: str, before_first: str) -> DataFrame:
     since = F.col(start)

@@ -75,7 +75,7 @@ def with_chunk(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame |
     width = F.col("_high") - F.col("_low")
     place = F.floor((number - F.col("_low")) / width * F.col("_chunks"))
     inside = F.greatest(F.lit(0), F.least(place, F.col("_chunks") - 1)).cast("int")
-    chunk = F.coalesce(F.when(width > 0, inside), F.lit(0))
+    chunk = F.coalesce(F.when(number.isNotNull() & (width > 0), inside), F.lit(0))
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
     cond = on[0]
     for c in on[1:]:

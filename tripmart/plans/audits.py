@@ -173,9 +173,9 @@ def audit_rides(rides: DataFrame, options: DataFrame | None = None, reasons: Dat
         wanted = reasons.select(F.col("cancellation_reason_id").alias("_reason"), "initiator")
         rides = rides.join(small_side(wanted), F.col("cancellation_reason_id") == F.col("_reason"), "left")
     checks = {rule: bad for g in groups for rule, bad in GROUPS[g]().items()}
-    broken = F.filter(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in checks.items()]),
-                      lambda rule: rule.isNotNull())
-    return rides.select("ride_id", F.explode(broken).alias("rule_id"))
+    # Joined text rather than an array with a filter lambda: lambdas are evaluated outside generated code.
+    broken = F.concat_ws(",", *[F.when(bad, F.lit(rule)) for rule, bad in checks.items()])
+    return rides.select("ride_id", F.explode(F.split(broken, ",")).alias("rule_id")).where("rule_id <> ''")
 
 
 def audit_summary(broken: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def unsuitable_options(rides: DataFrame, weights: DataFrame) -> DataFrame:
 def location_problems(locations: DataFrame, address: str = "address", province: str = "province_id") -> DataFrame:
     """Rows whose reverse-geocoded address map is not on land, not in the country or in another province."""
     addr = F.col(address)
-    on_land = F.exists(F.map_keys(addr), lambda k: k.isin(rules.LAND_ADDRESS_KEYS))
+    on_land = F.arrays_overlap(F.map_keys(addr), F.array(*[F.lit(k) for k in rules.LAND_ADDRESS_KEYS]))
     problem = (
         F.when(~F.coalesce(on_land, F.lit(False)), "not_on_land")
         .when(~F.try_element_at(addr, F.lit("country_code")).eqNullSafe(F.lit(rules.COUNTRY_CODE)), "other_country")
