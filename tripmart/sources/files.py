@@ -39,7 +39,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def list_files(spark: SparkSession, path: str, suffixes: Sequence[str] = ("csv", "json")) -> DataFrame:
-    """Files below `path` with one of the suffixes. The content column is pruned, so nothing is opened."""
+    """Files below `path` with one of the suffixes. The content column is pruned, so nothing is opened.
+
+    Spark leaves out files of no bytes; they hold nothing to load.
+    """
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
