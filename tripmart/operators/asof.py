@@ -34,14 +34,15 @@ def asof_join(rows: DataFrame, versions: DataFrame, keys: str | Sequence[str], a
     """Left join: `rows` plus `columns` of the version with start <= at < end.
 
     `before_first` decides for rows older than the first version of their key: its earliest version, or null.
-    A null `end` is open. Versions of one key must not overlap.
+    A null `end` is open. Versions of one key must not overlap. The size check reads `versions`, so pass a written
+    table rather than a long computation; `broadcast_rows=0` skips the check and carries.
     """
     if before_first not in (EARLIEST, NULL):
         raise ValueError(f"before_first must be {EARLIEST!r} or {NULL!r}, got {before_first!r}")
     keys = _as_list(keys)
     bounds = [c for c in (start, end) if c not in columns]
     needed = versions.select(*keys, *columns, *bounds)
-    if fits(needed, broadcast_rows) and _few_per_key(needed, keys):
+    if broadcast_rows and fits(needed, broadcast_rows) and _few_per_key(needed, keys):
         return _by_broadcast(rows, needed, keys, at, columns, start, end, before_first)
     return _by_carrying(rows, needed, keys, at, columns, start, end, before_first, rows_per_chunk)
 

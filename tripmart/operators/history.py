@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tripmart.operators.latest import _as_list, latest, total_order
-from tripmart.operators.sizing import ROWS_PER_CHUNK, hot_key_bounds, with_chunk
+from tripmart.operators.sizing import ROWS_PER_CHUNK, hot_key_bounds, small_side, with_chunk
 
 START, END = "__START_AT", "__END_AT"
 
@@ -111,10 +111,10 @@ def rebuild_touched(versions: DataFrame, log: DataFrame, arriving: DataFrame, ke
     """SCD 2 state after `arriving`, which is already part of `log`.
 
     A late row can split or join old versions, so each touched key is computed again from its whole log;
-    all other versions stay. The touched keys are distinct, so both joins keep their left rows as they are.
+    all other versions stay. Few touched keys are broadcast, so that the log is filtered where it lies.
     """
     keys = _as_list(keys)
-    touched = arriving.select(*keys).distinct()
+    touched = small_side(arriving.select(*keys).distinct())
     kept = versions.join(touched, keys, "left_anti")
     renewed = history(log.join(touched, keys, "left_semi"), keys, sequence, tracked, **options)
     return kept.unionByName(renewed)

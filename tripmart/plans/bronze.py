@@ -6,15 +6,14 @@ only loads that the manifest names, so a load that died halfway is invisible and
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.functions.columns import typed
 from tripmart.operators.changes import LOADED_AT, detect_changes, not_loaded
 from tripmart.operators.joins import union_feeds
-from tripmart.operators.latest import latest
 from tripmart.schemas import REFERENCE, RIDE, reference_key
 from tripmart.sources.files import (
     FILE_COLUMNS, SOURCE_PATH, count_per_file, list_files, manifest_schema, read_files, read_reference,
@@ -60,7 +59,7 @@ def load_historical(spark: SparkSession, landing: str, table: str, manifest: str
     chosen = sorted(pending.select(*FILE_COLUMNS).collect())
     if not chosen:
         return None
-    load_id = _load_id(spark, chosen)
+    load_id = _load_id(chosen)
     by_format = {"json": [], "csv": []}
     for row in chosen:
         by_format[row.file_name.rsplit(".", 1)[-1]].append(row.file_path)
@@ -81,8 +80,7 @@ def load_historical(spark: SparkSession, landing: str, table: str, manifest: str
     return load_id
 
 
-def _load_id(spark: SparkSession, rows: list) -> str:
-    import hashlib
+def _load_id(rows: list) -> str:
     text = "\n".join(f"{r.file_path}|{r.file_size}|{r.modified_at}" for r in rows)
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 

@@ -23,6 +23,8 @@ def build_session(app: str = "tripmart", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "static",
+        # Generated methods above 8 kB of bytecode are never compiled by the JVM; wide rows run faster split.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.ui.showConsoleProgress": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})

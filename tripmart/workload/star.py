@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tripmart.functions.columns import calendar
 from tripmart.operators.asof import asof_join
-from tripmart.operators.changes import latest_snapshot
 from tripmart.operators.history import history, rebuild_touched
 from tripmart.operators.joins import Dim, star_join
 from tripmart.operators.latest import first_seen, latest, upsert
