@@ -125,18 +125,19 @@ def test_first_seen(spark):
     assert sorted(r.v for r in first_seen(df, "u", "seq").collect()) == ["n", "old", "x"]
 
 
-ROWS = [(1, 0), (1, 2), (1, 3), (1, 9), (2, 0), (3, 5), (1, None)]
+ROWS = [(1, 0), (1, 2), (1, 3), (1, 9), (2, 0), (3, 5), (1, None), (None, 5)]
 
 
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
 @pytest.mark.parametrize("before_first,early", [("null", None), ("earliest", "A")])
 def test_asof_fixture(spark, broadcast_rows, before_first, early):
-    versions = history(spark.createDataFrame(FIXTURE, LOG), "k", "seq", ["tracked"])
+    log = [*FIXTURE, (None, "N", 0, 1)]
+    versions = history(spark.createDataFrame(log, LOG), "k", "seq", ["tracked"])
     rows = spark.createDataFrame(ROWS, "k int, at long")
     got = asof_join(rows, versions, "k", "at", ["tracked"], before_first=before_first, broadcast_rows=broadcast_rows)
     assert got.columns == ["k", "at", "tracked"]
     want = {(1, 0, early), (1, 2, "A"), (1, 3, "B"), (1, 9, "A"), (2, 0, "X" if early else None), (3, 5, None),
-            (1, None, None)}
+            (1, None, None), (None, 5, None)}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(ROWS)
 
 

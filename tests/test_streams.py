@@ -77,7 +77,7 @@ def sent(spark, *rides):
 
 def run_silver(spark, tmp_path):
     source = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
-    united = live.unite_feeds(source("live", ENVELOPE), source("historical", RIDE))
+    united = live.unite_feeds(source("live", ENVELOPE), source("historical", RIDE), dedup=True)
     start(live.write_silver(united, str(tmp_path / "silver")), str(tmp_path / "cp")).awaitTermination()
 
 
@@ -119,3 +119,34 @@ def test_hourly_report_is_final_after_the_watermark(spark, tmp_path):
           ).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(str(r.hour_start), r.rides, r.amount) for r in got] == [("2026-05-10 10:00:00", 2, 3.5)]
+
+
+def test_refresh_is_incremental_and_repeatable(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from tripmart.sources import files
+    from tripmart.streaming.refresh import read_gold, refresh
+
+    root, landing = str(tmp_path / "lake"), tmp_path / "landing"
+    (tmp_path / "mapping").mkdir()
+    (tmp_path / "live").mkdir()
+    old = lambda name, *r: files.write_csv(spark.createDataFrame(list(r), RIDE).coalesce(1), str(landing / name))
+    at = lambda day: datetime(2026, 6, day, tzinfo=timezone.utc)
+    live_at = lambda *r: (sent(spark, *r).coalesce(1).withColumn("timestamp", F.lit(at(5)))
+                          .write.mode("append").parquet(str(tmp_path / "live")))
+
+    def run(day):
+        feed = messages.file_feed(spark, str(tmp_path / "live"))
+        refresh(spark, root, str(landing), None, at(day), feed)
+        return {r.ride_id: r.total_fare for r in read_gold(spark, root, "fact_rides").collect()}
+
+    old("a", ride("H1", "2026-04-01T00:00:00", total_fare=1.0, booker_id="B1", booker_name="old"))
+    live_at(ride("L1", "2026-05-10T10:00:00", total_fare=2.0, booker_id="B1", booker_name="new"))
+    assert run(1) == {"H1": 1.0, "L1": 2.0}
+    assert run(2) == {"H1": 1.0, "L1": 2.0}
+    old("b", ride("H1", "2026-04-01T00:00:00", total_fare=9.0, booker_id="B1", booker_name="old"))  # a correction
+    live_at(ride("L2", "2020-01-01T00:00:00", total_fare=3.0, booker_id="B2"))                      # very late
+    assert run(3) == {"H1": 9.0, "L1": 2.0, "L2": 3.0}
+    want = silver.conform(spark.createDataFrame([ride("x", None, booker_name="new")], RIDE)).first().booker_name
+    bookers = {r.booker_id: r.booker_name for r in read_gold(spark, root, "dim_booker").collect()}
+    assert bookers == {"B1": want, "B2": None}

@@ -84,6 +84,7 @@ def _by_carrying(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at:
                          r.alias("_row"), v.alias("_version"))
 
     no_row, no_version = F.lit(None).cast(row_type), F.lit(None).cast(version_type)
+    versions = versions.dropna(subset=list(keys))  # as in any join, a null key meets nothing
     marks = line(versions, F.col(start), 1, no_row, version)
     if before_first == EARLIEST:
         oldest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_first()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from tripmart.operators.joins import union_feeds
@@ -21,24 +22,31 @@ def land_messages(feed: DataFrame, path: str) -> DataStreamWriter:
     return append_to(decode(feed), path)
 
 
-def unite_feeds(live: DataFrame, historical: DataFrame | None = None, dedup: bool = True,
+def unite_feeds(live: DataFrame | None, historical: DataFrame | None = None, dedup: bool = False,
                 lateness: str = LIVE_LATENESS, pepper: str = "") -> DataFrame:
     """One stream of silver rows plus `_malformed` and, for those, the message text.
 
-    Duplicates of the live feed are dropped within the lateness bound, so the state stays bounded. This is done
-    before the union: old historical files are no late data and must not be dropped by the live watermark.
+    Keyed tables behind silver hold one row per key anyway, so copies of a message do no harm there. With `dedup`
+    exact copies in the live feed are dropped before silver, with state bounded by `lateness`; this also drops live
+    rides booked longer than that before the newest one, so it is off by default. It acts before the union: old
+    historical files are no late data.
     """
-    parsed = parse(decode(live).select("records", F.col("timestamp").alias(INGESTED_AT)), RIDE)
-    bad = parsed.where(F.col("ride_id").isNull())
-    good = conform(parsed.where(F.col("ride_id").isNotNull()), pepper=pepper)
-    if dedup:
-        good = (good.withColumn("_event_time", F.coalesce("booking_timestamp", INGESTED_AT))
-                .withWatermark("_event_time", lateness)
-                .dropDuplicatesWithinWatermark(["ride_id", "booking_timestamp"]).drop("_event_time"))
-    feeds = [good.withColumn("_malformed", F.lit(False)),
-             bad.select("records", INGESTED_AT, F.lit(True).alias("_malformed"))]
+    feeds = []
+    if live is not None:
+        parsed = parse(decode(live).select("records", F.col("timestamp").alias(INGESTED_AT)), RIDE)
+        bad = parsed.where(F.col("ride_id").isNull())
+        good = parsed.where(F.col("ride_id").isNotNull())
+        if dedup:
+            booked = F.col("booking_timestamp").try_cast("timestamp")
+            good = (good.withColumn("_event_time", F.coalesce(booked, INGESTED_AT))
+                    .withColumn("_copy", F.sha2("records", 256))
+                    .withWatermark("_event_time", lateness).dropDuplicatesWithinWatermark(["ride_id", "_copy"]))
+        good = conform(good, pepper=pepper)
+        feeds = [good.withColumn("_malformed", F.lit(False)),
+                 bad.select("records", INGESTED_AT, F.lit(True).alias("_malformed"))]
     if historical is not None:
-        feeds.append(conform(historical, pepper=pepper).withColumn("_malformed", F.lit(False)))
+        feeds.append(conform(historical, pepper=pepper).withColumn("records", F.lit(None).cast("string"))
+                     .withColumn("_malformed", F.lit(False)))
     return union_feeds(*feeds)
 
 
@@ -49,6 +57,17 @@ def write_silver(united: DataFrame, path: str) -> DataStreamWriter:
     return per_batch(united, write)
 
 
+def silver_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Silver rows as a stream. A replayed batch may show rows twice; the keyed tables behind it do not mind."""
+    table = T.StructType([*conform_schema(spark).fields, T.StructField("batch", T.IntegerType()),
+                          T.StructField("_malformed", T.StringType())])
+    return spark.readStream.schema(table).parquet(path).where("_malformed = 'false'").drop("batch", "_malformed")
+
+
+def conform_schema(spark: SparkSession) -> T.StructType:
+    return conform(spark.createDataFrame([], RIDE)).schema
+
+
 def read_silver(spark: SparkSession, path: str) -> DataFrame:
     columns = [*RIDE.fieldNames(), INGESTED_AT]
     return spark.read.parquet(path).where("_malformed = 'false'").select(*columns)
