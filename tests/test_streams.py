@@ -51,14 +51,29 @@ def test_upsert_survives_replay_and_a_crash_while_compacting(spark, tmp_path, mo
     for n in (0, 1, 1, 2, 0):  # batches 1 and 0 are replayed
         latest(parts[n], "k", "seq").write.mode("overwrite").parquet(f"{target}/changes/batch={n}")
     want = latest(spark.createDataFrame(log, LOG), "k", "seq")
-    keyed.compact(spark, target, "k", "seq", 0)
-    parts[0].limit(1).write.parquet(f"{target}/base/upto=2")  # half of a base that was never named
+    keyed.compact(spark, target, "k", "seq", 0, "k % 3")
+    parts[0].limit(1).write.parquet(f"{target}/base/slice=s_0/upto=2")  # half of a slice that was never named
     assert same(keyed.read_upserted(spark, target, "k", "seq"), want)
-    keyed.compact(spark, target, "k", "seq", 2)
-    assert same(spark.read.parquet(f"{target}/base/upto=2"), want)
+    keyed.compact(spark, target, "k", "seq", 2, "k % 3")
+    assert same(spark.read.parquet(f"{target}/base").where("upto = 2").drop("slice", "upto"), want)
     assert same(keyed.read_upserted(spark, target, "k", "seq"), want)
 
 
+def test_compaction_writes_only_touched_slices(spark, tmp_path):
+    target = str(tmp_path / "target")
+    put = lambda n, rows: spark.createDataFrame(rows, LOG).write.parquet(f"{target}/changes/batch={n}")
+    put(0, [(k, "A", 0, 1) for k in range(6)])
+    keyed.compact(spark, target, "k", "seq", 0, "k % 3")
+    put(1, [(1, "B", 0, 2)])
+    keyed.compact(spark, target, "k", "seq", 1, "k % 3")
+    folders = sorted(str(p.relative_to(target)) for p in (tmp_path / "target/base").glob("slice=*/upto=*"))
+    assert folders == ["base/slice=s_0/upto=0", "base/slice=s_1/upto=0", "base/slice=s_1/upto=1",
+                       "base/slice=s_2/upto=0"]
+    put(2, [(2, "C", 0, 0), (9, "D", 0, 1)])  # a stale row and a new key, not compacted
+    got = {r.k: r.tracked for r in keyed.read_upserted(spark, target, "k", "seq").collect()}
+    assert got == {0: "A", 1: "B", 2: "A", 3: "A", 4: "A", 5: "A", 9: "D"}
+
+
 def test_history_stream_equals_batch(spark, tmp_path):
     log = random_log(9, 90)
     target = str(tmp_path / "target")

@@ -2,8 +2,9 @@
 
 SCD 1: a micro-batch is reduced to its newest row per key and written as one small change folder, so a batch
 costs what arrived, not what is stored. Readers take the newest row over base and changes. `compact` folds the
-changes into a new base from time to time; it writes a new folder and then names it, so a crash in between
-leaves the old state readable.
+changes into the base from time to time. The base is cut into slices by a function of the key, and only slices
+with changes are written again: with time-ordered keys, the recent ones. New slice folders are named last, so a
+crash in between leaves the old state readable.
 
 SCD 2: the change log is kept whole; per batch only touched keys are computed again.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -22,46 +23,70 @@ from tripmart.sources.files import read_table
 from tripmart.streaming.runs import per_batch
 
 
+ONE_SLICE = "'all'"
+
+
 def upsert_stream(stream: DataFrame, target: str, keys: str | Sequence[str], sequence: str | Sequence[str],
-                  compact_every: int = 50) -> DataStreamWriter:
-    """Keep the newest row per key of `stream` at `target`; stale rows lose whenever they arrive."""
+                  compact_every: int = 50, slice_by: str = ONE_SLICE) -> DataStreamWriter:
+    """Keep the newest row per key of `stream` at `target`; stale rows lose whenever they arrive.
+
+    `slice_by` is an SQL expression over the key columns alone, such as the time prefix of a time-ordered id.
+    """
     def write(batch: DataFrame, number: int) -> None:
         latest(batch, keys, sequence).write.mode("overwrite").parquet(f"{target}/changes/batch={number}")
         if compact_every and (number + 1) % compact_every == 0:
-            compact(batch.sparkSession, target, keys, sequence, number)
+            compact(batch.sparkSession, target, keys, sequence, number, slice_by)
     return per_batch(stream, write)
 
 
-def _base_number(spark: SparkSession, target: str) -> int | None:
-    named = read_table(spark, f"{target}/bases")
-    return None if named is None else named.agg(F.max("upto")).first()[0]
+def _slice(expression: str) -> Column:
+    return F.concat(F.lit("s_"), F.coalesce(F.expr(expression).cast("string"), F.lit("")))
+
+
+def _named_slices(spark: SparkSession, target: str) -> dict[str, int]:
+    """The valid folder of each slice: a few rows, one per slice."""
+    named = read_table(spark, f"{target}/named")
+    return {} if named is None else dict(named.groupBy("slice").agg(F.max("upto")).collect())
+
+
+def _base(spark: SparkSession, target: str, named: dict[str, int]) -> DataFrame | None:
+    """Rows of the named folders; the condition is on partition columns, so other folders are not read."""
+    if not named:
+        return None
+    valid = [f"{s}:{n}" for s, n in named.items()]
+    base = spark.read.parquet(f"{target}/base")
+    return base.where(F.concat_ws(":", "slice", F.col("upto").cast("string")).isin(valid)).drop("slice", "upto")
+
+
+def _changes(spark: SparkSession, target: str, named: dict[str, int], upto: int | None = None) -> DataFrame:
+    """Changes that the base does not hold yet; folders of others are pruned."""
+    changes = read_table(spark, f"{target}/changes").where(F.col("batch") > max(named.values(), default=-1))
+    return (changes if upto is None else changes.where(F.col("batch") <= upto)).drop("batch")
 
 
 def read_upserted(spark: SparkSession, target: str, keys: str | Sequence[str],
                   sequence: str | Sequence[str]) -> DataFrame:
-    """Current rows; folders of changes that the base already holds are pruned."""
-    number = _base_number(spark, target)
-    changes = read_table(spark, f"{target}/changes")
-    if number is not None:
-        changes = changes.where(F.col("batch") > number)
-    base = None if number is None else spark.read.parquet(f"{target}/base/upto={number}")
-    return upsert(base, changes.drop("batch"), keys, sequence)
+    """Current rows: the newest per key over base and later changes."""
+    named = _named_slices(spark, target)
+    return upsert(_base(spark, target, named), _changes(spark, target, named), keys, sequence)
 
 
 def compact(spark: SparkSession, target: str, keys: str | Sequence[str], sequence: str | Sequence[str],
-            upto: int) -> None:
-    """Fold all changes up to batch `upto` into a new base, then name it."""
-    number = _base_number(spark, target)
-    if number is not None and number >= upto:
+            upto: int, slice_by: str = ONE_SLICE) -> None:
+    """Fold the changes up to batch `upto` into their slices of the base, then name the new folders."""
+    named = _named_slices(spark, target)
+    if max(named.values(), default=-1) >= upto:
         return
-    changes = read_table(spark, f"{target}/changes").where(F.col("batch") <= upto)
-    base = None
-    if number is not None:
-        changes = changes.where(F.col("batch") > number)
-        base = spark.read.parquet(f"{target}/base/upto={number}")
-    merged = upsert(base, changes.drop("batch"), keys, sequence)
-    merged.write.mode("overwrite").parquet(f"{target}/base/upto={upto}")
-    spark.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(f"{target}/bases")
+    changes = _changes(spark, target, named, upto)
+    touched = [r[0] for r in changes.select(_slice(slice_by)).distinct().collect()]
+    base = _base(spark, target, {s: n for s, n in named.items() if s in set(touched)})
+    merged = upsert(base, changes, keys, sequence)
+    (merged.withColumn("slice", _slice(slice_by)).withColumn("upto", F.lit(upto))
+     .hint("rebalance", F.col("slice"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("slice", "upto").parquet(f"{target}/base"))
+    (spark.createDataFrame([(s, upto) for s in touched], "slice string, upto int").coalesce(1)
+     .write.mode("append").parquet(f"{target}/named"))
 
 
 def history_stream(stream: DataFrame, target: str, keys: str | Sequence[str], sequence: str,
