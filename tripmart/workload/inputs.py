@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,13 +138,18 @@ _stored: dict[tuple[str, str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> DataFrame:
-    """A layer table as a job would find it: written once per session to the shared folder, then read."""
+    """A layer table as a job would find it: written once per session to the shared folder, then read.
+
+    If the folder has been cleared in between, the table is written again.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _stored:
+    try:
+        return spark.read.parquet(_stored[key])
+    except (KeyError, AnalysisException):
         path = work_dir(spark, name)
         write(path)
         _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        return spark.read.parquet(path)
 
 
 def rides(spark: SparkSession, sf_dir: str) -> DataFrame:
