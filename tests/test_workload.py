@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from tripmart.workload import registry
 from check_sql import compare, connect
 from tripmart import session
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")
