@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import decontaminate, licenses, mixing
+from tripmart.llm import decontaminate, licenses, mixing, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,3 +88,24 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",
                         F.array_join("base_labels", ",").alias("base_labels"),
                         F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query(f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_SPACED.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[s + 1 : s + least(len(w), 5)], ' ')) AS h
+  FROM d, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS u(s) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+link AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM sh AS a JOIN sh AS b ON a.h = b.h AND a.doc_id < b.doc_id
+    JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(na.n) + any_value(nb.n) - count(*))),
+step AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, s.y FROM reach AS r JOIN step AS s ON r.y = s.x),
+c AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM c LEFT JOIN n USING (doc_id)""")
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
