@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import decontaminate, licenses, mixing, neardup
+from tripmart.llm import decontaminate, licenses, mixing, neardup, sentences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,3 +109,9 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM c LEFT JOIN n USING (doc_id)""")
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentences.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "text")
