@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import decontaminate, licenses, mixing, neardup, sentences
+from tripmart.llm import decontaminate, langid, licenses, mixing, neardup, sentences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,3 +115,11 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentences.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "text")
+
+
+@query()
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    model = langid.train(docs.where("NOT held_out"), langid.read_pieces())
+    return langid.predict(docs, model, ("doc_id", "held_out"))
