@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import decontaminate, langid, licenses, mixing, neardup, sentences
+from tripmart.llm import decontaminate, langid, licenses, mixing, neardup, sentences, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,17 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
     model = langid.train(docs.where("NOT held_out"), langid.read_pieces())
     return langid.predict(docs, model, ("doc_id", "held_out"))
+
+
+@query("""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p GROUP BY h HAVING count(*) > 1)
+SELECT page_id, payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> (15 - 5 * j)) & 31 AS INTEGER) + 1, 1), '' ORDER BY g, j)
+   FROM (SELECT g, CAST('0x' || substr(h, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT) AS v FROM unnest(range(8)) AS a(g)), unnest(range(4)) AS b(j)) AS payload_digest,
+  CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM p LEFT JOIN k USING (h)""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
