@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import decontaminate, langid, licenses, mixing, neardup, sentences, warc
+from tripmart.llm import chunks, decontaminate, langid, licenses, mixing, neardup, sentences, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +137,8 @@ FROM p LEFT JOIN k USING (h)""")
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.compare_with_next(table(spark, sf_dir, "documents"))
