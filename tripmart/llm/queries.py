@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import chunks, decontaminate, langid, licenses, mixing, neardup, sentences, warc
+from tripmart.llm import chunks, decontaminate, langid, licenses, lm, mixing, neardup, sentences, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.coalesce(F.crc32(c.cast("string")) % 7 == 2, F.lit(False))
+    model, rare = lm.train(docs.where(~held_out(F.col("doc_id"))), lm.read_vocabulary())
+    return lm.score(docs, model, rare).withColumn("held_out", held_out(F.col("doc_id")))
