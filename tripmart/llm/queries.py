@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripmart.llm import chunks, decontaminate, langid, licenses, lm, mixing, neardup, sentences, warc
+from tripmart.llm import (
+    chunks,
+    decontaminate,
+    langid,
+    licenses,
+    lm,
+    mixing,
+    neardup,
+    sentences,
+    substrings,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +161,23 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda c: F.coalesce(F.crc32(c.cast("string")) % 7 == 2, F.lit(False))
     model, rare = lm.train(docs.where(~held_out(F.col("doc_id"))), lm.read_vocabulary())
     return lm.score(docs, model, rare).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+@query("""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS s
+  FROM d, unnest(range(0, CAST(len(h) // 2 - 199 AS BIGINT))) AS u(i)),
+g AS (SELECT r, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+m AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM g),
+n AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM m),
+s AS (SELECT r, k, min(i) AS lo, max(i) + 200 AS hi FROM n GROUP BY r, k),
+e AS (SELECT r, lo, hi, lead(lo) OVER (PARTITION BY r ORDER BY lo) AS nxt, row_number() OVER (PARTITION BY r ORDER BY lo) AS k FROM s),
+c AS (
+  SELECT d.r, count(*) AS n_spans, CAST(sum(hi - lo) AS BIGINT) AS n_removed,
+    string_agg(CASE WHEN k = 1 THEN substr(h, 1, CAST(2 * lo AS BIGINT)) ELSE '' END ||
+      substr(h, CAST(2 * hi + 1 AS BIGINT), CAST(2 * (coalesce(nxt, len(h) // 2) - hi) AS BIGINT)), '' ORDER BY lo) AS kept
+  FROM e JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (r)""")
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept")
