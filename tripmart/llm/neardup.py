@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +67,14 @@ def _signatures(shingle: int, permutations: int, band: int):
 
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for rows in rows_of(batches):
             sets = [shingle_set(t.as_py(), shingle) for t in rows.column("text")]
             wanted = rows.column("node").to_pylist()
             same = [(n, s) for n, s in zip(wanted, sets) if set_digest(s) == n]
-            yield pa.record_batch([pa.array([n for n, _ in same], pa.binary()),
-                                   pa.array([s.tobytes() for _, s in same], pa.binary())], names=["node", "shingles"])
+            yield pa.record_batch([pa.array(np.arange(row, row + len(same))), pa.array([n for n, _ in same], pa.binary()),
+                                   pa.array([s.tobytes() for _, s in same], pa.binary())], names=["id", "node", "shingles"])
+            row += len(same)
     return run
 
 
@@ -95,17 +98,45 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary")
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in rows_of(batches):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("shingles")]
+        ids = np.repeat(rows.column("id").to_numpy(), [len(x) for x in sets])
+        yield pa.record_batch([pa.array(np.concatenate(sets)), pa.array(ids)], names=["shingle", "id"])
+
+
+def _common(sets: DataFrame) -> DataFrame:
+    """`node`, `v`: how many shingles of a set any other set has as well."""
+    single = sets.select("id", "shingles").mapInArrow(_shingles, "shingle long, id long").groupBy("shingle").agg(
+        F.count("*").alias("sets"), F.min("id").alias("id")).where("sets = 1").groupBy(F.col("id").alias("_id")).agg(
+        F.count("*").alias("alone"))
+    return sets.join(single, F.col("id") == F.col("_id"), "left").select(
+        "node", (F.octet_length("shingles") / 8 - F.coalesce("alone", F.lit(0))).cast("long").alias("v")).groupBy(
+        "node").agg(F.max("v").alias("v"))
+
+
+def _hopeful(members: DataFrame, percent: int) -> DataFrame:
+    """Members of buckets (`bucket`, `node`, `n`, `v`) without those that cannot be linked with any other one there.
+
+    At most v of the n shingles of a set are shared, and the other set has at least as many, and not fewer than the
+    smallest one of the bucket.
+    """
+    least = members.groupBy("bucket").agg(F.min("n").alias("_least"))
+    return members.join(least, "bucket").where(f"100 * v >= {percent} * (n + greatest(_least, v) - v)").drop("_least")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
                     permutations: int = PERMUTATIONS, band: int = BAND, leaders: int = LEADERS) -> DataFrame:
     """One row per document: `doc_id`, `text_hash`, `n_shingles`, `component_id`, `kept`.
 
     Texts with 100 * intersection >= percent * union of their shingle sets are linked; `component_id` is the
     smallest doc_id of a component. Sets that are equal are one node from the start, so copies cost nothing. Nodes
-    that share a band meet in a bucket. No bucket is expanded into pairs: its first member is compared with all
-    others, then `leaders` more at a time, on full sets, and those are done and leave the bucket. Members that
-    are in one component by then need no comparison. A bucket is finished when all that is left in it is one
-    component, so no link between candidates is lost, whatever a bucket's size, and a group of near copies takes one
-    comparison each.
+    that share a band meet in a bucket. No bucket is expanded into pairs: one leader is compared with all others,
+    then `leaders` more at a time, on full sets, and those are done and leave the bucket. Members that are in one
+    component by then need no comparison. A bucket is finished when all that is left in it is one component, so no
+    link between candidates is lost, whatever a bucket's size. Leaders are those with the fewest shingles that no other
+    set has, which stand in the middle of a family of copies, and sets with too many such shingles to be linked with
+    anything in a bucket are left out of it: an exact bound.
 
     Null or empty texts, or texts without words, have no shingles and are linked with nothing. Equal doc_ids of
     different texts are separate rows. A null doc_id never names a component: its row is kept if no other document
@@ -118,38 +149,38 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         "neardup-nodes")
 
     in_buckets = nodes.select("node", "n", F.explode_outer("bands").alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
-    members = written(in_buckets.join(shared.select("bucket", "first"), "bucket"), "neardup-buckets")
+    shared = in_buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    members = written(in_buckets.join(shared.select("bucket"), "bucket"), "neardup-buckets")
 
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node").withColumnRenamed(
         "doc_id", "_id")
     texts = docs.select("doc_id", "text").join(wanted, F.expr("doc_id <=> _id")).select("node", "text")
-    sets = written(texts.mapInArrow(_sets(shingle), "node binary, shingles binary"), "neardup-sets")
-
-    alike_size = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    sizes = nodes.select(F.col("node").alias("other"), F.col("n").alias("m"))
-    pairs = members.where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"), "n").distinct()
-    pairs = pairs.join(sizes, F.col("b") == F.col("other")).where(alike_size).select("a", "b")
-    links = written(_confirmed(pairs, sets, percent), "neardup-links")
-    labels = components(links, "a", "b")
-    left = members.where("node > first").select("bucket", "node", "n")
+    sets = written(texts.mapInArrow(_sets(shingle), "id long, node binary, shingles binary"), "neardup-sets")
+
+    left = written(_hopeful(members.join(_common(sets), "node"), percent), "neardup-left")
+    may_link = F.expr(f"100 * least(v, w) >= {percent} * (n + m - least(v, w))")
+    labels, width = None, 1
     while True:
-        named = left.join(labels, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        named = left.withColumn("label", F.col("node")) if labels is None else left.join(labels, "node", "left").select(
+            *left.columns, F.coalesce("label", "node").alias("label"))
         open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         left = written(named.join(open_.select("bucket"), "bucket", "left_semi"), "neardup-left")
         if left.isEmpty():
             break
-        place = Window.partitionBy("bucket").orderBy("node")
-        leading = written(left.withColumn("place", F.row_number().over(place)).where(F.col("place") <= leaders).select(
-            "bucket", F.col("node").alias("b"), F.col("label").alias("of"), F.col("n").alias("m")), "neardup-leading")
-        pairs = left.withColumnRenamed("node", "a").join(leading, "bucket").where(
-            (F.col("a") > F.col("b")) & (F.col("label") != F.col("of")) & alike_size).select("a", "b").distinct()
+        place = Window.partitionBy("bucket").orderBy(F.col("n") - F.col("v"), "node")
+        leading = written(left.withColumn("place", F.row_number().over(place)).where(F.col("place") <= width).select(
+            "bucket", F.col("node").alias("b"), F.col("label").alias("of"), F.col("n").alias("m"), F.col("v").alias("w")),
+            "neardup-leading")
+        later = F.expr("(n - v, node) > (m - w, b)")
+        pairs = left.join(leading, "bucket").where((F.col("label") != F.col("of")) & later & may_link).select(
+            F.col("node").alias("a"), "b").distinct()
         found = written(_confirmed(pairs, sets, percent), "neardup-links")
-        labels = _relabel(labels, found)
-        left = left.join(leading.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").select(
-            "bucket", "node", "n")
+        labels = components(found, "a", "b") if labels is None else _relabel(labels, found)
+        left = left.join(leading.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").drop("label")
+        width = leaders
 
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = signed.join(labels, F.col("digest") == F.col("node"), "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("label", "digest").alias("label"))
     named = written(named, "neardup-named")
