@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmart.llm.hashing import rows_of
-from tripmart.llm.text import column, free_names, written
+from tripmart.llm.text import column, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The bounded sample a language is learned from: documents, none longer than so many characters.
@@ -57,6 +57,9 @@ class Lattice:
         self.none, self.rare = n_pieces, n_pieces + 1
         self.pieces, rolled = [], np.zeros(len(chars), np.uint64)
         for size in range(1, _LONGEST + 1):
+            if size > len(chars):
+                self.pieces.append(np.full(len(chars), self.none, np.int32))
+                continue
             rolled[:len(chars) - size + 1] = rolled[:len(chars) - size + 1] * _STEP + chars[size - 1:] + np.uint64(1)
             at = np.full(len(chars), self.none, np.int32)
             if size in index:
@@ -251,11 +254,9 @@ def rejected(lang_pred: Column, score: Column, least: float) -> Column:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents whose language is told with a posterior of `least`, columns as they are."""
-    lang, score, text = free_names(docs, "_lang", "_score", "_text")
-    wide = docs.withColumn(text, column(docs, "text")).select(*[column(docs, c) for c in docs.columns], F.col(text))
-    names = wide.columns
-    schema = ", ".join([*[f"`{n}` {t}" for n, t in docs.dtypes], f"`{lang}` string", f"`{score}` double"])
-
-    run = _predict(model, len(names) - 1)
-    out = wide.mapInArrow(run, schema)
-    return out.where(~rejected(F.col(lang), F.col(score), least)).select(*[column(out, c) for c in docs.columns])
+    # by number: names may hold dots
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).select("*", F.col(names[docs.columns.index("text")]).alias("text"))
+    schema = ", ".join([*[f"{n} {t}" for n, t in plain.dtypes[:-1]], "lang_pred string, score double"])
+    out = plain.mapInArrow(_predict(model, len(names)), schema)
+    return out.where(~rejected(F.col("lang_pred"), F.col("score"), least)).select(*names).toDF(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from tripmart.llm.hashing import rows_of
-from tripmart.llm.text import column, free_names, written
+from tripmart.llm.text import column, written
 
 #: A span is several consecutive sentences with at least so many words together; a longer sentence is one by itself.
 SPAN_WORDS, LONE_WORDS = 20, 40
@@ -135,28 +135,26 @@ def rewrite(docs: DataFrame, span_words: int = SPAN_WORDS, lone_words: int = LON
 
     A document that had no words before stays. `n_chars`, where it is there, follows the text. Cases as in `dedup`.
     """
-    later_id, later = free_names(docs, "_doc", "_later")
-    marks = later_spans(docs, span_words, lone_words).select(F.col("doc").alias(later_id), F.col("later").alias(later))
-    joined = docs.join(marks, F.coalesce(column(docs, "doc_id").cast("long"), F.lit((1 << 63) - 1)) == F.col(later_id),
-                       "left").drop(later_id)
-    at = joined.columns.index("text")
-    schema = joined.drop(later).schema
+    marks = later_spans(docs, span_words, lone_words)
+    # by number: names may hold dots
+    names, at = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
+    plain = docs.toDF(*names)
+    doc_id = F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit((1 << 63) - 1))
+    joined = plain.join(marks, doc_id == F.col("doc"), "left").drop("doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches):
             texts, stays = [], []
-            for text, gone_spans in zip(rows.column(at).to_pylist(), rows.column(later).to_pylist()):
+            for text, gone_spans in zip(rows.column(at).to_pylist(), rows.column("later").to_pylist()):
                 parts, gone = cut(text, set(gone_spans or ()), span_words, lone_words)
                 kept = None if text is None else "".join(p for p, g in zip(parts, gone) if not g)
                 texts.append(kept)
                 stays.append(not any(gone) or bool(kept.strip()))
-            columns = [pa.array(texts, rows.schema.field(at).type) if i == at else c for i, c in enumerate(rows.columns)]
-            fields = [(n, c) for n, c in zip(rows.schema.names, columns) if n != later]
-            out = pa.record_batch([c for _, c in fields], names=[n for n, _ in fields])
-            yield out.filter(pa.array(stays, pa.bool_()))
+            columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(rows.columns[:len(names)])]
+            yield pa.record_batch(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, plain.schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(column(out, "n_chars").isNotNull(), F.length("text").cast(
-            schema["n_chars"].dataType)))
-    return out.select(*[column(out, c) for c in docs.columns])
+        n_chars = names[docs.columns.index("n_chars")]
+        out = out.withColumn(n_chars, F.when(F.col(n_chars).isNotNull(), F.length(names[at]).cast(plain.schema[n_chars].dataType)))
+    return out.toDF(*docs.columns)

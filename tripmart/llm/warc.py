@@ -79,7 +79,7 @@ def _write(folder: str, date: str, archive_bytes: int):
             for page_id, url, html, refers_to in zip(*[c.to_pylist() for c in rows.columns]):
                 if out is None:
                     path, n, size = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                 member = _member(record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, date))
                 out.write(member)
                 n, size = n + 1, size + len(member)
@@ -224,7 +224,7 @@ def _read(folder: str, payloads: bool):
         for rows in batches:
             for path in rows.column("path").to_pylist():
                 held, size = [], 0
-                with store.open_input_stream(path) as raw:
+                with store.open_input_stream(path, compression=None) as raw:
                     for found in read_records(raw, payloads):
                         held.append(found | {"path": path})
                         size += 500 + len(found.get("payload") or b"")
