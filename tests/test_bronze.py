@@ -145,7 +145,7 @@ def test_exports_can_be_read_back(spark, lake):
     assert '"booker_name":null' in read("json")
     for fmt in ("csv", "json"):
         paths = [str(p) for p in (lake / fmt).glob(f"*.{fmt}")]
-        assert files.read_files(spark, paths, fmt).drop("_source_path").collect() == rows.collect()
+        assert files.read_files(spark, paths, fmt).drop("_source_path", "_extra").collect() == rows.collect()
 
 
 def test_fingerprint_tells_nulls_and_delimiters_apart(spark):
@@ -230,3 +230,48 @@ def test_messages_and_quarantine(spark):
     assert good.select(*RIDE.fieldNames()).collect() == rows.collect()
     assert [r.records for r in quarantine.collect()] == ["{bad"]
     assert json.loads(good.first().records)["booker_id"] is None  # nulls are sent
+
+
+def test_load_keeps_line_breaks_new_columns_and_odd_names(spark, lake):
+    """Quoted line breaks, undeclared columns of CSV and JSON, and file names with blanks, braces and per cent signs."""
+    odd = ["rides jan.csv", "rides{1}.csv", "rides%20x.csv", "a[b]*?.csv"]
+    for i, name in enumerate(odd):
+        rows = [ride(f"R{i}", pickup_address='No. 1, "x"\nRoad 2') | {"weather": "rain"}]
+        write_csv(lake / "landing" / name, rows)
+    (lake / "landing" / "more rides.json").write_text(json.dumps([ride("J1") | {"weather": "sun", "stops": 2}, ride("J2")]))
+    assert load(spark, lake, T1)
+    got = {r.ride_id: r for r in bronze.read_historical(spark, str(lake / "rides"), str(lake / "manifest")).collect()}
+    assert sorted(got) == ["J1", "J2", "R0", "R1", "R2", "R3"]
+    assert all(got[f"R{i}"].pickup_address == 'No. 1, "x"\nRoad 2' and got[f"R{i}"].total_fare == 10.5 for i in range(4))
+    assert got["R0"]._extra == {"weather": "rain"} and got["J1"]._extra == {"weather": "sun", "stops": "2"}
+    assert got["J2"]._extra is None
+    counts = bronze.read_manifest(spark, str(lake / "manifest")).collect()
+    assert sorted(r.record_count for r in counts) == [1, 1, 1, 1, 2]
+    assert load(spark, lake, T2) is None
+
+
+def test_reference_grows_a_column(spark, lake):
+    at = lake / "map_provinces.json"
+    at.write_text(json.dumps([{"province_id": "A", "province_name": "Alpha"}]))
+    table, schema = str(lake / "map_provinces"), REFERENCE["map_provinces"]
+    assert bronze.append_changes(spark, files.read_reference(spark, str(at), schema), table, "province_id", T1)
+    at.write_text(json.dumps([{"province_id": "A", "province_name": "Alpha", "region": "North"}]))
+    assert bronze.append_changes(spark, files.read_reference(spark, str(at), schema), table, "province_id", T2)
+    assert not bronze.append_changes(spark, files.read_reference(spark, str(at), schema), table, "province_id", T3)
+    assert sorted(r.region or "" for r in files.read_table(spark, table).collect()) == ["", "North"]
+
+
+def test_headers_take_one_job(spark, lake):
+    """The number of jobs does not follow the number of files."""
+    def jobs(n):
+        folder = lake / f"many{n}"
+        folder.mkdir()
+        for i in range(n):
+            write_csv(folder / f"f{i}.csv", [ride(f"R{i}")], None if i % 2 else list(reversed(ride("x"))))
+        sc = spark.sparkContext
+        sc.setJobGroup(f"headers{n}", "")
+        paths = [r.file_path for r in files.list_files(spark, str(folder)).collect()]
+        assert files.read_csv(spark, paths).count() == n
+        sc._jsc.clearJobGroup()
+        return len(sc.statusTracker().getJobIdsForGroup(f"headers{n}"))
+    assert jobs(3) == jobs(20)

@@ -191,15 +191,40 @@ def test_small_side_is_hinted_only_within_its_bound(spark):
     assert "broadcast" not in plan(sizing.small_side(df, 9)).lower()
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_star_join_keeps_every_row_and_both_roles(spark, broadcast_rows):
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_star_join_keeps_every_row_and_both_roles(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     fact = spark.createDataFrame([(1, "a", "b"), (2, "b", None), (3, "z", "a")], "id int, p string, d string")
     dim = spark.createDataFrame([("a", "Alpha"), ("b", "Beta")], "code string, name string")
-    got = star_join(fact, [Dim(dim, "p", "code", ["name"], "pickup_"), Dim(dim, "d", "code", ["name"], "dropoff_")],
-                    broadcast_rows)
+    got = star_join(fact, [Dim(dim, "p", "code", ["name"], "pickup_"), Dim(dim, "d", "code", ["name"], "dropoff_")])
     assert got.columns == ["id", "p", "d", "pickup_name", "dropoff_name"]
     assert sorted((r.id, r.pickup_name, r.dropoff_name) for r in got.collect()) == [
         (1, "Alpha", "Beta"), (2, "Beta", None), (3, None, "Alpha")]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("policy", ["earliest", "null"])
+def test_asof_plans_agree_on_open_starts_and_mixed_times(spark, policy):
+    versions = spark.sql("""SELECT * FROM VALUES (1, 'a', NULL, TIMESTAMP'2026-01-05 10:00:00'),
+        (1, 'b', TIMESTAMP'2026-01-05 10:00:00', TIMESTAMP'2026-01-07 00:00:00'), (1, 'c', TIMESTAMP'2026-01-07 00:00:00', NULL),
+        (2, 'd', TIMESTAMP'2026-01-06 12:00:00', NULL), (NULL, 'e', NULL, NULL) AS t(k, v, __START_AT, __END_AT)""")
+    rows = spark.sql("""SELECT * FROM VALUES (1, DATE'2026-01-04'), (1, DATE'2026-01-05'), (1, DATE'2026-01-06'),
+        (1, DATE'2026-01-07'), (2, DATE'2026-01-06'), (2, DATE'2026-01-07'), (3, DATE'2026-01-07'), (1, NULL), (NULL, DATE'2026-01-07')
+        AS t(k, day)""")
+    first = "d" if policy == "earliest" else None
+    want = sorted([(1, 4, "a"), (1, 5, "a"), (1, 6, "b"), (1, 7, "c"), (2, 6, first), (2, 7, "d"), (3, 7, None), (1, None, None),
+                   (None, 7, None)], key=str)
+    for options in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "rows_per_chunk": 2}):
+        got = asof_join(rows, versions, "k", "day", ["v"], before_first=policy, **options).collect()
+        assert sorted([(r.k, r.day and r.day.day, r.v) for r in got], key=str) == want, options
+
+
+def test_rebuilding_null_keys(spark):
+    log = spark.createDataFrame([(None, "a", 1), (None, "c", 5), (1, "x", 1), (2, "y", 1)], "k int, v string, seq int")
+    late = spark.createDataFrame([(None, "b", 3), (2, "z", 2)], log.schema)
+    every = log.unionByName(late)
+    got = rebuild_touched(history(log, "k", "seq", ["v"]), every, late, "k", "seq", ["v"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, history(every, "k", "seq", ["v"]).collect()), key=str)
 
 
 def test_union_by_name_and_integrity_helpers(spark):

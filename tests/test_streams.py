@@ -1,19 +1,21 @@
 """Streams: batch cuts, replays and crashes do not change what is stored."""
 
 import json
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tripmart.operators.history import history
 from tripmart.operators.latest import latest
-from tripmart.plans import silver
-from tripmart.schemas import ENVELOPE, RIDE
+from tripmart.plans import bronze, silver
+from tripmart.schemas import ENVELOPE, REFERENCE, RIDE
 from tripmart.sources import messages
-from tripmart.streaming import keyed, rides as live
+from tripmart.streaming import keyed, refresh, rides as live
 from tripmart.streaming.runs import append_to, start
 from test_operators import random_log
 
+T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
 LOG = "k int, tracked string, other int, seq long"
 
 
@@ -165,3 +167,52 @@ def test_refresh_is_incremental_and_repeatable(spark, tmp_path):
     want = silver.conform(spark.createDataFrame([ride("x", None, booker_name="new")], RIDE)).first().booker_name
     bookers = {r.booker_id: r.booker_name for r in read_gold(spark, root, "dim_booker").collect()}
     assert bookers == {"B1": want, "B2": None}
+
+
+def _message(spark, folder, rows, number):
+    body = [(json.dumps(r).encode() if isinstance(r, dict) else r.encode(),) for r in rows]
+    values = spark.createDataFrame(body, "value binary").select(*[
+        F.col("value") if f.name == "value" else F.lit(T0 if f.name == "timestamp" else None).cast(f.dataType).alias(f.name)
+        for f in ENVELOPE.fields])
+    values.coalesce(1).write.parquet(str(folder / f"part{number}"))
+
+
+def _raw(ride_id, fare):
+    return {f.name: None for f in RIDE.fields} | {"ride_id": ride_id, "booking_timestamp": "2026-01-05T08:30:00",
+                                                  "total_fare": fare, "booker_id": "B1", "driver_id": "D1", "vehicle_id": "V1"}
+
+
+def test_refresh_with_feeds_that_come_and_go(spark, tmp_path, monkeypatch):
+    """Live only, then both, then files only; a load that died before its manifest; rows without an id; references."""
+    root, landing, mapping, sent = (tmp_path / n for n in ("root", "landing", "mapping", "sent"))
+    for folder in (landing, mapping, sent):
+        folder.mkdir()
+    for name, schema in REFERENCE.items():
+        (mapping / f"{name}.json").write_text(json.dumps([{f.name: None for f in schema.fields} | {schema.fieldNames()[0]: 1}]))
+
+    def run(live, number):
+        stream = messages.file_feed(spark, f"{sent}/*") if live else None
+        refresh.refresh(spark, str(root), str(landing), str(mapping), T0 + timedelta(days=number), stream)
+        return {r.ride_id: r.total_fare for r in refresh.read_gold(spark, str(root), "fact_rides").collect()}
+
+    _message(spark, sent, [_raw("L1", 1.0), "{bad", _raw(None, 5.0)], 0)
+    assert run(True, 0) == {"L1": 1.0}
+    (landing / "a.json").write_text(json.dumps([_raw("H1", 2.0), _raw(None, 3.0), _raw(None, 4.0)]))
+    _message(spark, sent, [_raw("L2", 1.5)], 1)
+    assert run(True, 1) == {"L1": 1.0, "L2": 1.5, "H1": 2.0}
+
+    # a load writes its rows and dies before it is named; then another file arrives
+    (landing / "b.json").write_text(json.dumps([_raw("H2", 6.0)]))
+    with monkeypatch.context() as broken:
+        broken.setattr(bronze, "count_per_file", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(False, 2)
+    (landing / "c.json").write_text(json.dumps([_raw("H3", 7.0)]))
+    want = {"L1": 1.0, "L2": 1.5, "H1": 2.0, "H2": 6.0, "H3": 7.0}
+    assert run(False, 3) == want and run(True, 4) == want
+    silver_rows = live.read_silver(spark, f"{root}/silver/rides").collect()
+    assert sorted(r.ride_id for r in silver_rows) == sorted(want)
+    assert live.read_quarantine(spark, f"{root}/silver/rides").count() == 4
+    assert spark.read.parquet(f"{root}/bronze/live_messages").count() == 4
+    assert refresh.read_gold(spark, str(root), "dim_ride_option").count() == 1
+    assert refresh.read_gold(spark, str(root), "dim_province").count() == 1

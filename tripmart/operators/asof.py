@@ -14,11 +14,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tripmart.operators.history import END, START
 from tripmart.operators.latest import _as_list
 from tripmart.operators.sizing import (
-    BROADCAST_ROWS, ROWS_PER_CHUNK, fits, hot_key_bounds, with_chunk,
+    BROADCAST_ROWS, ROWS_PER_CHUNK, hot_key_bounds, with_chunk,
 )
 
 EARLIEST, NULL = "earliest", "null"
@@ -34,36 +35,47 @@ def asof_join(rows: DataFrame, versions: DataFrame, keys: str | Sequence[str], a
     """Left join: `rows` plus `columns` of the version with start <= at < end.
 
     `before_first` decides for rows older than the first version of their key: its earliest version, or null.
-    A null `end` is open. Versions of one key must not overlap. The size check reads `versions`, so pass a written
-    table rather than a long computation; `broadcast_rows=0` skips the check and carries.
+    A null `start` is from the beginning, a null `end` is open; a row without time meets no version. Times of
+    different types are compared in their common type (a date is its midnight). Versions of one key must not overlap.
+    Both plans give the same rows. The size check reads `versions` once, so pass a written table rather than a long
+    computation; `broadcast_rows=0` skips the check and carries.
     """
     if before_first not in (EARLIEST, NULL):
         raise ValueError(f"before_first must be {EARLIEST!r} or {NULL!r}, got {before_first!r}")
     keys = _as_list(keys)
     bounds = [c for c in (start, end) if c not in columns]
     needed = versions.select(*keys, *columns, *bounds)
-    if broadcast_rows and fits(needed, broadcast_rows) and _few_per_key(needed, keys):
-        return _by_broadcast(rows, needed, keys, at, columns, start, end, before_first)
-    return _by_carrying(rows, needed, keys, at, columns, start, end, before_first, rows_per_chunk)
+    kind = _common_type(rows.schema[at].dataType, needed.schema[start].dataType, needed.schema[end].dataType, rows)
+    if broadcast_rows and _small(needed, keys, broadcast_rows):
+        return _by_broadcast(rows, needed, keys, at, columns, start, end, before_first, kind)
+    return _by_carrying(rows, needed, keys, at, columns, start, end, before_first, rows_per_chunk, kind)
 
 
-def _few_per_key(versions: DataFrame, keys: Sequence[str]) -> bool:
-    return versions.groupBy(*keys).count().where(F.col("count") > VERSIONS_PER_KEY).isEmpty()
+def _common_type(at: DataType, start: DataType, end: DataType, df: DataFrame) -> DataType:
+    """The type in which all three can be compared, by Spark's own widening rules."""
+    values = [F.lit(None).cast(t) for t in (at, start, end)]
+    return df.sparkSession.range(0).select(F.greatest(*values).alias("t")).schema["t"].dataType
+
+
+def _small(versions: DataFrame, keys: Sequence[str], most: int) -> bool:
+    """Few enough versions in all and per key, by one aggregate."""
+    per_key = versions.groupBy(*keys).agg(F.count("*").alias("n"))
+    total, largest = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    return total <= most and largest <= VERSIONS_PER_KEY
 
 
 def _by_broadcast(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at: str,
-                  columns: Sequence[str], start: str, end: str, before_first: str) -> DataFrame:
-    since = F.col(start)
+                  columns: Sequence[str], start: str, end: str, before_first: str, kind: DataType) -> DataFrame:
+    since = F.col(start).cast(kind)
     if before_first == EARLIEST:
-        first = F.min(start).over(Window.partitionBy(*keys))
-        since = F.when(F.col(start) > first, F.col(start))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_first()))
+        since = F.when(place > 1, since)
     sided = versions.select(*keys, *[F.col(c).alias(f"_v_{c}") for c in columns],
-                            since.alias("_since"), F.col(end).alias("_until"))
+                            since.alias("_since"), F.col(end).cast(kind).alias("_until"))
     r, v = rows.alias("r"), F.broadcast(sided).alias("v")
-    cond = (F.col(f"r.`{at}`") >= F.col("v._since"))
-    if before_first == EARLIEST:
-        cond = cond | F.col("v._since").isNull()
-    cond = cond & F.col(f"r.`{at}`").isNotNull() & ((F.col(f"r.`{at}`") < F.col("v._until")) | F.col("v._until").isNull())
+    time = F.col(f"r.`{at}`").cast(kind)
+    cond = (F.col("v._since").isNull() | (time >= F.col("v._since"))) & time.isNotNull() & (
+        F.col("v._until").isNull() | (time < F.col("v._until")))
     for k in keys:
         cond = (F.col(f"r.`{k}`") == F.col(f"v.`{k}`")) & cond
     return r.join(v, cond, "left").select(
@@ -72,15 +84,14 @@ def _by_broadcast(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at:
 
 def _by_carrying(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at: str,
                  columns: Sequence[str], start: str, end: str, before_first: str,
-                 rows_per_chunk: int) -> DataFrame:
+                 rows_per_chunk: int, kind: DataType) -> DataFrame:
     """One line per key: side 0 is the earliest version (if wanted), 1 a version, 2 a row."""
     row, version = F.struct(*rows.columns), F.struct(*versions.columns)
     row_type = rows.select(row.alias("_row")).schema["_row"].dataType
     version_type = versions.select(version.alias("_version")).schema["_version"].dataType
-    at_type = rows.schema[at].dataType
 
     def line(df: DataFrame, time: Column, side: int, r: Column, v: Column) -> DataFrame:
-        return df.select(*keys, time.cast(at_type).alias("_at"), F.lit(side).alias("_side"),
+        return df.select(*keys, time.cast(kind).alias("_at"), F.lit(side).alias("_side"),
                          r.alias("_row"), v.alias("_version"))
 
     no_row, no_version = F.lit(None).cast(row_type), F.lit(None).cast(version_type)
@@ -91,7 +102,7 @@ def _by_carrying(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at:
         earliest = versions.withColumn("_place", oldest).where("_place = 1")
         marks = marks.unionByName(line(earliest, F.lit(None), 0, no_row, version))
 
-    hot = hot_key_bounds(rows, keys, at, rows_per_chunk)
+    hot = hot_key_bounds(rows.withColumn(at, F.col(f"`{at}`").cast(kind)), keys, at, rows_per_chunk)
     line_of_rows = with_chunk(line(rows, F.col(at), 2, row, no_version), keys, "_at", hot)
     marks = with_chunk(marks, keys, "_at", hot)
     if hot is not None:
@@ -103,7 +114,7 @@ def _by_carrying(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at:
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = F.last("_version", ignorenulls=True).over(window)
     valid = F.col("_found").isNotNull() & F.col("_at").isNotNull() & (
-        (F.col("_at") < F.col(f"_found.`{end}`")) | F.col(f"_found.`{end}`").isNull())
+        (F.col("_at") < F.col(f"_found.`{end}`").cast(kind)) | F.col(f"_found.`{end}`").isNull())
     return (
         line_of_rows.unionByName(marks)
         .withColumn("_found", found)
@@ -116,7 +127,8 @@ def _carried_over(rows: DataFrame, marks: DataFrame, hot: DataFrame, keys: Seque
                   version_type, no_row: Column) -> DataFrame:
     on = list(keys)
     chunks = (
-        with_chunk(rows.select(*keys, at).join(hot.select(*keys), on, "left_semi"), keys, at, hot)
+        with_chunk(rows.select(*keys, F.col(f"`{at}`").cast(marks.schema["_at"].dataType).alias("_at"))
+                   .join(hot.select(*keys), on, "left_semi"), keys, "_at", hot)
         .select(*keys, "_chunk").distinct()
         .select(*keys, "_chunk", F.lit(None).cast(version_type).alias("_last"))
     )

@@ -12,6 +12,8 @@ take part in the joining step per key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -102,10 +104,6 @@ def _join_edges(edges: DataFrame, keys: Sequence[str], tracked: Sequence[str]) -
     )
 
 
-def current_versions(versions: DataFrame) -> DataFrame:
-    return versions.where(F.col(END).isNull())
-
-
 def rebuild_touched(versions: DataFrame, log: DataFrame, arriving: DataFrame, keys: str | Sequence[str],
                     sequence: str, tracked: Sequence[str], **options) -> DataFrame:
     """SCD 2 state after `arriving`, which is already part of `log`.
@@ -114,7 +112,11 @@ def rebuild_touched(versions: DataFrame, log: DataFrame, arriving: DataFrame, ke
     all other versions stay. Few touched keys are broadcast, so that the log is filtered where it lies.
     """
     keys = _as_list(keys)
-    touched = small_side(arriving.select(*keys).distinct())
-    kept = versions.join(touched, keys, "left_anti")
-    renewed = history(log.join(touched, keys, "left_semi"), keys, sequence, tracked, **options)
+    touched = small_side(arriving.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]).distinct())
+
+    def same(df: DataFrame) -> Column:  # null is a key like any other
+        return reduce(and_, [df[k].eqNullSafe(touched[f"_t{i}"]) for i, k in enumerate(keys)])
+
+    kept = versions.join(touched, same(versions), "left_anti")
+    renewed = history(log.join(touched, same(log), "left_semi"), keys, sequence, tracked, **options)
     return kept.unionByName(renewed)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripmart.operators.sizing import BROADCAST_ROWS, small_side
+from tripmart.operators.sizing import small_side
 
 
 @dataclass(frozen=True)
@@ -23,17 +23,18 @@ class Dim:
     prefix: str = ""
 
 
-def star_join(fact: DataFrame, dims: Iterable[Dim], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def star_join(fact: DataFrame, dims: Iterable[Dim]) -> DataFrame:
     """Left join of the fact with each dimension role; the keys of a dimension must be unique.
 
-    Small dimensions are broadcast, so the fact passes them in one stage. A dimension too large for that is
-    joined by shuffle, where AQE splits the partition of a hot foreign key.
+    Dimensions are stored tables, whose bytes Spark knows: it broadcasts those below its threshold, so the fact passes
+    them in one stage, and no job runs while the plan is built. A larger one is joined by shuffle, where AQE splits the
+    partition of a hot foreign key.
     """
     for i, dim in enumerate(dims):
         key = f"_dim{i}"
         side = dim.table.select(F.col(dim.key).alias(key),
                                 *[F.col(c).alias(f"{dim.prefix}{c}") for c in dim.columns])
-        fact = fact.join(small_side(side, broadcast_rows), F.col(dim.fact_key) == F.col(key), "left").drop(key)
+        fact = fact.join(side, F.col(dim.fact_key) == F.col(key), "left").drop(key)
     return fact
 
 

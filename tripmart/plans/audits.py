@@ -46,10 +46,10 @@ def option_rules(spark: SparkSession) -> DataFrame:
         rows, "ride_option_id int, min_passengers_ratio double, distance_weights map<string,int>")
 
 
-def with_option_rules(options: DataFrame) -> DataFrame:
-    """Active options with their rules; an option without rules gets no weights and no least share."""
+def with_option_rules(options: DataFrame, retired: bool = False) -> DataFrame:
+    """Active options (or all) with their rules; an option without rules gets no weights and no least share."""
     return (
-        options.where(active())
+        (options if retired else options.where(active()))
         .join(F.broadcast(option_rules(options.sparkSession)), "ride_option_id", "left")
         .withColumn("min_passengers_ratio", F.coalesce("min_passengers_ratio", F.lit(0.0)))
         .withColumn("distance_weights", F.coalesce("distance_weights", F.create_map().cast("map<string,int>")))
@@ -161,11 +161,12 @@ def audit_rides(rides: DataFrame, options: DataFrame | None = None, reasons: Dat
                 groups: Iterable[str] = GROUPS) -> DataFrame:
     """(ride_id, rule_id) of every broken rule of the chosen groups, in one pass over the rides.
 
-    `options` must have one row per option. An unknown option breaks no fare rule; `integrity` reports it.
+    `options` must have one row per option, retired ones too: they were valid for old rides. An unknown option breaks no
+    fare rule; `integrity` reports it.
     """
     groups = list(groups)
     if _NEED_OPTIONS & set(groups):
-        wanted = with_option_rules(options).select(
+        wanted = with_option_rules(options, retired=True).select(
             F.col("ride_option_id").alias("_option"), "base_rate", "per_km", "per_minute", "passenger_capacity",
             "min_passengers_ratio", "distance_weights")
         rides = rides.join(small_side(wanted), F.col("ride_option_id") == F.col("_option"), "left")

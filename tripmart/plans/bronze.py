@@ -25,11 +25,9 @@ IDENTITY = ["file_path", "file_size", "modified_at"]
 
 def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
     """Committed loads; empty before the first one."""
-    found = read_table(spark, manifest)
-    if found is not None:
-        return found
     schema = manifest_schema().add("load_id", "string")
-    return spark.createDataFrame([], schema)
+    found = read_table(spark, manifest, schema)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def read_historical(spark: SparkSession, table: str, manifest: str) -> DataFrame | None:
@@ -46,11 +44,13 @@ def pending_files(spark: SparkSession, landing: str, manifest: str) -> DataFrame
 
 
 def load_historical(spark: SparkSession, landing: str, table: str, manifest: str, loaded_at: datetime,
-                    files: DataFrame | None = None, json_lines: bool = False, schema=RIDE) -> str | None:
+                    files: DataFrame | None = None, json_lines: bool = False, schema=RIDE,
+                    csv_multi_line: bool = True) -> str | None:
     """Load pending files (or the pending ones among `files`) and record them; the load id, or None.
 
     The input is scanned once: counts per file are taken from what was written. The load id names the set of
-    files, so a repeated attempt overwrites the folder of the first.
+    files, so a repeated attempt overwrites the folder of the first. Quoted CSV values may hold line breaks;
+    `csv_multi_line=False`, for files known to have none, lets large files be split.
     """
     pending = pending_files(spark, landing, manifest)
     if files is not None:
@@ -63,7 +63,7 @@ def load_historical(spark: SparkSession, landing: str, table: str, manifest: str
     by_format = {"json": [], "csv": []}
     for row in chosen:
         by_format[row.file_name.rsplit(".", 1)[-1]].append(row.file_path)
-    parts = [read_files(spark, paths, fmt, schema, **({"multi_line": not json_lines} if fmt == "json" else {}))
+    parts = [read_files(spark, paths, fmt, schema, multi_line=csv_multi_line if fmt == "csv" else not json_lines)
              for fmt, paths in by_format.items() if paths]
     target = f"{table}/load_id={load_id}"
     union_feeds(*parts).withColumn("_ingested_at", F.lit(loaded_at)).write.mode("overwrite").parquet(target)
@@ -96,11 +96,9 @@ def append_changes(spark: SparkSession, source: DataFrame, table: str, key: str,
     if existing is not None:
         earlier = existing.where(F.col("load_id") != load).drop("load_id")
         changed = detect_changes(source, earlier, key)
-    if changed.isEmpty():
-        return False
-    (changed.withColumn(LOADED_AT, F.lit(loaded_at)).write.mode("overwrite")
-     .parquet(f"{table}/load_id={load}"))
-    return True
+    target = f"{table}/load_id={load}"
+    changed.withColumn(LOADED_AT, F.lit(loaded_at)).write.mode("overwrite").parquet(target)
+    return not spark.read.parquet(target).isEmpty()
 
 
 def load_references(spark: SparkSession, folder: str, bronze: str, loaded_at: datetime) -> dict[str, bool]:

@@ -36,11 +36,11 @@ def versioned_dim(log: DataFrame, name: str) -> DataFrame:
 
 
 def fact_rides(silver: DataFrame) -> DataFrame:
-    """One row per ride with booking date and hour.
+    """One row per ride with booking date and hour. Rows without a ride id are none (`silver.split_unidentified`).
 
     A corrected ride keeps its booking time, so load time decides between equal booking times.
     """
-    newest = latest(silver.select(*FACT, INGESTED_AT), "ride_id", SEQUENCE)
+    newest = latest(silver.select(*FACT, INGESTED_AT).where(F.col("ride_id").isNotNull()), "ride_id", SEQUENCE)
     return newest.select(*FACT, *calendar())
 
 

@@ -160,9 +160,11 @@ def option_revenue(fact: DataFrame, option: Sequence[str] = ("ride_option_id", "
 
 def payment_mix(fact: DataFrame, by: str = "ride_option_id",
                 methods: Sequence[int] = PAYMENT_METHOD_IDS) -> DataFrame:
-    """Rides per option with one column per payment method; the methods are given, so no extra pass finds them."""
-    counted = fact.groupBy(by).pivot("payment_method_id", list(methods)).agg(F.count(F.lit(1)))
-    return counted.select(by, *[F.coalesce(F.col(f"`{m}`"), F.lit(0)).alias(f"method_{m}") for m in methods])
+    """Rides per option: one column per given payment method, `method_other` for any other or none, and `rides`."""
+    paid = F.col("payment_method_id")
+    known = F.coalesce(paid.isin(*methods), F.lit(False))
+    return fact.groupBy(by).agg(*[F.count_if(paid == m).alias(f"method_{m}") for m in methods],
+                                F.count_if(~known).alias("method_other"), _rides())
 
 
 def fare_breakdown(fact: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,11 @@ from tripmart.sources.messages import decode, parse, split_malformed
 INGESTED_AT = "_ingested_at"
 
 
-def conform(rides: DataFrame, ingested_at: Column | None = None, pepper: str = "") -> DataFrame:
-    """Type the three timestamps, hash the seven personal columns; one map-only projection.
+def conform(rides: DataFrame, ingested_at: Column | None = None, pepper: str = "",
+            keep: Sequence[str] = ()) -> DataFrame:
+    """Type the three timestamps, hash the seven personal columns; one map-only projection. `keep`: further columns.
 
-    A timestamp text that cannot be read becomes null and the row stays.
+    A timestamp text that cannot be read becomes null and the row stays (`unreadable_times` counts them).
     """
     def column(name: str) -> Column:
         if name in TIMESTAMPS:
@@ -27,7 +30,18 @@ def conform(rides: DataFrame, ingested_at: Column | None = None, pepper: str = "
 
     if ingested_at is None:
         ingested_at = F.col(INGESTED_AT) if INGESTED_AT in rides.columns else F.lit(None).cast("timestamp")
-    return rides.select(*[column(f.name) for f in RIDE.fields], ingested_at.cast("timestamp").alias(INGESTED_AT))
+    return rides.select(*[column(f.name) for f in RIDE.fields], ingested_at.cast("timestamp").alias(INGESTED_AT), *keep)
+
+
+def unreadable_times(rides: DataFrame) -> DataFrame:
+    """How many timestamp texts of raw rides cannot be read: `column_name`, `row_count`; one pass."""
+    bad = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("timestamp").isNull()).alias(c) for c in TIMESTAMPS]
+    return rides.agg(*bad).unpivot([], list(TIMESTAMPS), "column_name", "row_count")
+
+
+def split_unidentified(rides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rides with an id, rides without): the latter cannot be facts and belong in quarantine."""
+    return rides.where(F.col("ride_id").isNotNull()), rides.where(F.col("ride_id").isNull())
 
 
 def from_messages(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,18 +21,13 @@ HISTORICAL_NAME = r"^historical_(\d{8})_(\d{8})\.(csv|json)$"
 
 FILE_COLUMNS = ["file_path", "file_name", "file_size", "modified_at"]
 SOURCE_PATH = "_source_path"
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """True if a readable table lies at `path`."""
-    return read_table(spark, path) is not None
+EXTRA = "_extra"
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """A parquet table with the union of its files' columns, or None if there is none yet."""
+    """A parquet table, or None if there is none yet. Without a schema all files are asked for their columns."""
     try:
-        reader = spark.read.option("mergeSchema", True)
-        return (reader.schema(schema) if schema else reader).parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -84,9 +80,31 @@ def read_files(spark: SparkSession, paths: Sequence[str], fmt: str,
 
 def read_json(spark: SparkSession, paths: Sequence[str], schema: T.StructType = RIDE,
               multi_line: bool = True) -> DataFrame:
-    """JSON rows by field name. `multi_line` takes whole-file arrays; JSON lines also split within a file."""
-    df = spark.read.schema(schema).option("multiLine", multi_line).json(list(paths))
-    return df.select("*", F.col("_metadata.file_path").alias(SOURCE_PATH))
+    """JSON rows by field name. `multi_line` takes whole-file arrays; JSON lines also split within a file.
+
+    Fields outside `schema` are kept as text in the map `_extra`; one pass over the input finds their names.
+    """
+    files = [readable(p) for p in paths]
+    found = spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(files).columns
+    known = {n.lower() for n in schema.fieldNames()}
+    more = [c for c in found if c.lower() not in known and c != "_corrupt_record"]
+    wide = T.StructType([*schema.fields, *[T.StructField(c, T.StringType()) for c in more]])
+    df = spark.read.schema(wide).option("multiLine", multi_line).json(files)
+    return df.select(*schema.fieldNames(), _extra(more), F.col("_metadata.file_path").alias(SOURCE_PATH))
+
+
+def _extra(names: Sequence[str]) -> Column:
+    """Columns that no schema declares, by name; null if a row has none."""
+    if not names:
+        return F.lit(None).cast("map<string,string>").alias(EXTRA)
+    pairs = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`") for n in names]))
+    there = F.map_filter(pairs, lambda _, v: v.isNotNull())
+    return F.when(F.size(there) > 0, there).alias(EXTRA)
+
+
+def readable(path: str) -> str:
+    """The path of a listed file as readers take it: listings encode it, and readers see patterns in it."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in unquote(path))
 
 
 def read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType = RIDE,
@@ -94,33 +112,59 @@ def read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType = R
     """CSV rows by header name, typed tolerantly (a value that does not fit becomes null).
 
     Spark applies the first header to all files of one read, so files are grouped by header and each group is
-    read once. A column of `schema` that a file lacks is null; columns outside `schema` are dropped.
+    read once. A column of `schema` that a file lacks is null; columns outside `schema` are kept in the map `_extra`.
     """
     groups: dict[str, list[str]] = {}
-    for path, header in zip(paths, _headers(spark, paths)):
-        if header is not None:
-            groups.setdefault(header, []).append(path)
+    for path, header in sorted(_headers(spark, paths).items()):
+        groups.setdefault(header, []).append(readable(path))
     parts = [_read_csv_group(spark, members, schema, multi_line) for members in groups.values()]
     if not parts:
-        empty = T.StructType([*schema.fields, T.StructField(SOURCE_PATH, T.StringType())])
+        empty = T.StructType([*schema.fields, T.StructField(EXTRA, T.MapType(T.StringType(), T.StringType())),
+                              T.StructField(SOURCE_PATH, T.StringType())])
         return spark.createDataFrame([], empty)
     return union_feeds(*parts)
 
 
 def _read_csv_group(spark: SparkSession, paths: list[str], schema: T.StructType, multi_line: bool) -> DataFrame:
+    plain = [p for p in paths if not (multi_line and "\\" in p)]
+    odd = [p for p in paths if multi_line and "\\" in p]
     df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", multi_line).csv(paths))
-    return df.select(*typed(df, schema), F.col("_metadata.file_path").alias(SOURCE_PATH))
+          .option("multiLine", multi_line).csv(plain)) if plain else None
+    if odd:
+        whole = _csv_records(spark, odd)
+        df = whole if df is None else df.select("*", F.col("_metadata.file_path").alias(SOURCE_PATH)).unionByName(whole)
+        return _with_extra(df, schema, F.col(SOURCE_PATH))
+    return _with_extra(df, schema, F.col("_metadata.file_path"))
 
 
-def _headers(spark: SparkSession, paths: Sequence[str], threads: int = 16) -> list[str | None]:
-    """First line of each file, None for an empty file. Each probe stops after one line, not one file."""
-    def probe(path: str) -> str | None:
-        row = spark.read.text(path).first()
-        return row[0] if row else None
+def _csv_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV of files with one header, as text columns, for names that the multi-line reader takes for patterns.
+
+    Such a file is read whole; records end at line breaks outside of quotes.
+    """
+    text = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias(SOURCE_PATH))
+    records = F.regexp_extract_all("value", F.lit(r'((?:[^"\r\n]|"(?:[^"]|"")*")+)'))
+    header = text.select(F.element_at(records, 1)).first()[0]
+    names = next(csv.reader([header]))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return text.select(F.explode(F.slice(records, 2, F.size(records))).alias("record"), SOURCE_PATH).select(
+        F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"'}).alias("r"), SOURCE_PATH
+    ).select("r.*", SOURCE_PATH)
+
+
+def _with_extra(df: DataFrame, schema: T.StructType, path: Column) -> DataFrame:
+    known = {n.lower() for n in schema.fieldNames()}
+    more = [c for c in df.columns if c.lower() not in known and c != SOURCE_PATH]
+    return df.select(*typed(df, schema), _extra(more), path.alias(SOURCE_PATH))
 
-    with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(probe, paths))
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """First line of each file that has one: one job for all files, one line per file to the driver."""
+    lines = spark.read.text([readable(p) for p in paths]).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("line")).where("start = 0")
+    firsts = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
+    return {r["path"]: r["header"] for r in firsts.collect()}
 
 
 def count_per_file(df: DataFrame, path: str | Column = SOURCE_PATH) -> DataFrame:
@@ -130,8 +174,13 @@ def count_per_file(df: DataFrame, path: str | Column = SOURCE_PATH) -> DataFrame
 
 
 def read_reference(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A reference file (one JSON array) with its declared types, which inference would widen."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A reference file (one JSON array) with its declared types, which inference would widen.
+
+    A column that is not declared is kept as text, so that it is loaded from the day it appears.
+    """
+    found = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path).columns
+    more = [T.StructField(c, T.StringType()) for c in found if c not in schema.fieldNames() and c != "_corrupt_record"]
+    return spark.read.schema(T.StructType([*schema.fields, *more])).option("multiLine", True).json(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -6,20 +6,20 @@ can be repeated, so a refresh that died is simply run again.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tripmart.functions.columns import calendar
 from tripmart.plans import bronze, gold
 from tripmart.plans.silver import INGESTED_AT
-from tripmart.schemas import FACT, RIDE, SCD1_DIMS, SCD2_DIMS, STATIC_DIMS
-from tripmart.sources.files import SOURCE_PATH
+from tripmart.schemas import FACT, SCD1_DIMS, SCD2_DIMS, STATIC_DIMS
+from tripmart.sources.files import read_table
 from tripmart.streaming import keyed
-from tripmart.streaming.rides import silver_stream, unite_feeds, write_silver
-from tripmart.streaming.runs import start
+from tripmart.streaming.rides import land_messages, silver_stream, unite_feeds, write_batch, write_silver
+from tripmart.streaming.runs import per_batch, start
 
 
 # Slices of the keyed tables. Ride ids begin with their time: one value of four characters spans about 12 days.
@@ -29,32 +29,59 @@ HASH_SLICES = "pmod(xxhash64({key}), 64)"
 
 def refresh(spark: SparkSession, root: str, landing: str, mapping: str | None, loaded_at: datetime,
             live: DataFrame | None = None, json_lines: bool = False, pepper: str = "") -> None:
-    """Load pending files, changed reference rows and new messages; carry them through to the gold tables."""
+    """Load pending files, changed reference rows and new messages; carry them through to the gold tables.
+
+    Each feed has a query and a checkpoint of its own, so feeds may come and go between refreshes. Messages are landed as
+    they came, and silver reads the landed ones. Historical rows reach silver by their manifest: only loads that it names.
+    """
     rides, manifest = f"{root}/bronze/historical_rides", f"{root}/bronze/historical_rides_manifest"
     bronze.load_historical(spark, landing, rides, manifest, loaded_at, json_lines=json_lines)
     if mapping:
         bronze.load_references(spark, mapping, f"{root}/bronze", loaded_at)
 
-    historical = spark.readStream.schema(_stored_schema(spark)).parquet(rides)
-    _run(write_silver(unite_feeds(live, historical, pepper=pepper), f"{root}/silver/rides"), root, "silver")
-
-    for name, columns in SCD1_DIMS.items():
-        _keep(spark, root, name, columns)
-    _keep(spark, root, "fact_rides", FACT)
+    silver = f"{root}/silver/rides"
+    raw = f"{root}/bronze/live_messages"
+    if live is not None:
+        _run(land_messages(live, raw), root, "live_messages")
+    if read_table(spark, raw) is not None:
+        landed = spark.readStream.schema(spark.read.parquet(raw).schema).parquet(raw)
+        _run(write_silver(unite_feeds(landed, pepper=pepper), f"{silver}/feed=live"), root, "silver_live")
+    if read_table(spark, manifest) is not None:
+        named = spark.readStream.schema(bronze.read_manifest(spark, manifest).schema).parquet(manifest)
+        _run(per_batch(named, lambda loads, number: _named_loads(loads, rides, f"{silver}/feed=historical", number, pepper)),
+             root, "silver_historical")
+    if read_table(spark, silver) is not None:
+        for name, columns in SCD1_DIMS.items():
+            _keep(spark, root, name, columns)
+        _keep(spark, root, "fact_rides", FACT)
     if mapping:
         for name, table in STATIC_DIMS.items():
-            dim = gold.static_dim(bronze.reference_log(spark, f"{root}/bronze", table), name)
-            dim.write.mode("overwrite").parquet(f"{root}/gold/{name}")
+            publish(gold.static_dim(bronze.reference_log(spark, f"{root}/bronze", table), name), f"{root}/gold/{name}")
         for name, (table, _) in SCD2_DIMS.items():
-            dim = gold.versioned_dim(bronze.reference_log(spark, f"{root}/bronze", table), name)
-            dim.write.mode("overwrite").parquet(f"{root}/gold/{name}")
+            publish(gold.versioned_dim(bronze.reference_log(spark, f"{root}/bronze", table), name), f"{root}/gold/{name}")
+
+
+def _named_loads(loads: DataFrame, rides: str, silver: str, number: int, pepper: str) -> None:
+    """The rows of the loads that a batch of manifest rows names. Their folders are read, not the whole table."""
+    spark = loads.sparkSession
+    # one id per load
+    folders = [f"{rides}/load_id={r.load_id}" for r in loads.select("load_id").distinct().collect()]
+    if folders:
+        rows = spark.read.option("basePath", rides).option("mergeSchema", True).parquet(*folders)
+        write_batch(unite_feeds(None, rows, pepper=pepper), silver, number)
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write a table under a new name and then say that it is there: readers see the old one or the new one whole."""
+    run = uuid.uuid4().hex
+    df.write.parquet(f"{path}/run={run}")
+    names = df.sparkSession.createDataFrame([(run,)], "run string").withColumn("at", F.current_timestamp())
+    names.coalesce(1).write.mode("append").parquet(f"{path}_runs")
 
 
-def _stored_schema(spark: SparkSession) -> StructType:
-    """Columns of the bronze ride table."""
-    return spark.createDataFrame([], RIDE).select(
-        "*", F.lit("").alias(SOURCE_PATH), F.lit(None).cast("timestamp").alias(INGESTED_AT),
-        F.lit("").alias("load_id")).schema
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    run = spark.read.parquet(f"{path}_runs").orderBy(F.col("at").desc()).first().run
+    return spark.read.parquet(f"{path}/run={run}")
 
 
 def _run(writer, root: str, name: str) -> None:
@@ -76,4 +103,4 @@ def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
         if name == "fact_rides":
             return rows.select(*FACT, *calendar())
         return rows.drop(INGESTED_AT)
-    return spark.read.parquet(f"{root}/gold/{name}")
+    return read_published(spark, f"{root}/gold/{name}")

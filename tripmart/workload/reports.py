@@ -139,7 +139,9 @@ def option_revenue(spark, sf_dir):
 
 
 @query(with_(FACT_CTE) + "SELECT ride_option_id, " + ", ".join(
-    f"count(*) FILTER (payment_method_id = {m}) AS method_{m}" for m in range(1, 6)) + " FROM fact GROUP BY 1")
+    f"count(*) FILTER (payment_method_id = {m}) AS method_{m}" for m in range(1, 6))
+    + ", count(*) FILTER (coalesce(payment_method_id NOT IN (1, 2, 3, 4, 5), true)) AS method_other,"
+      " count(*) AS rides FROM fact GROUP BY 1")
 def payment_mix(spark, sf_dir):
     return marts.payment_mix(inputs.fact(spark, sf_dir))
 

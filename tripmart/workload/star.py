@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripmart.functions.columns import calendar
@@ -174,6 +175,49 @@ def asof_earliest_broadcast(spark, sf_dir):
     return _last_purchase(spark, sf_dir, "earliest")
 
 
+def _open_start(spark, sf_dir, **options):
+    """Purchases as versions whose first one has no start: it is valid from the beginning, whatever the policy."""
+    events = table(spark, sf_dir, "events")
+    log = events.where("event_type = 'purchase'").select("event_id", "ts", "user_id", "value")
+    dim = history(log, "user_id", "ts", ["value"]).withColumnRenamed("value", "purchase_value")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("__START_AT").asc_nulls_first()))
+    dim = dim.withColumn("_place", place).withColumn("__START_AT", F.when(F.col("_place") > 1, F.col("__START_AT")))
+    return asof_join(events.select("event_id", "user_id", "ts"), dim, "user_id", "ts", ["purchase_value"], **options)
+
+
+@query(_EARLIEST)
+def asof_null_start(spark, sf_dir):
+    return _open_start(spark, sf_dir, before_first="null")
+
+
+@query(_EARLIEST)
+def asof_null_start_carried(spark, sf_dir):
+    return _open_start(spark, sf_dir, before_first="earliest", broadcast_rows=0)
+
+
+_BY_DAY = with_(_PURCHASES) + """SELECT e.event_id, e.user_id, CAST(e.ts AS DATE) AS day, d.value AS purchase_value
+    FROM events e ASOF LEFT JOIN v d ON e.user_id = d.user_id AND CAST(CAST(e.ts AS DATE) AS TIMESTAMP) >= d.__START_AT"""
+
+
+def _by_day(spark, sf_dir, **options):
+    """Days against versions with times: a day meets the version valid at its midnight."""
+    events = table(spark, sf_dir, "events")
+    log = events.where("event_type = 'purchase'").select("event_id", "ts", "user_id", "value")
+    dim = history(log, "user_id", "ts", ["value"]).withColumnRenamed("value", "purchase_value")
+    days = events.select("event_id", "user_id", F.col("ts").cast("date").alias("day"))
+    return asof_join(days, dim, "user_id", "day", ["purchase_value"], before_first="null", **options)
+
+
+@query(_BY_DAY)
+def asof_date_vs_timestamp(spark, sf_dir):
+    return _by_day(spark, sf_dir)
+
+
+@query(_BY_DAY)
+def asof_date_vs_timestamp_carried(spark, sf_dir):
+    return _by_day(spark, sf_dir, broadcast_rows=0)
+
+
 @query("""SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, o.o_custkey, c.c_nationkey, c.c_mktsegment, s.s_nationkey,
           cn.n_name AS customer_nation, sn.n_name AS supplier_nation
           FROM lineitem l LEFT JOIN orders o ON l_orderkey = o_orderkey LEFT JOIN customer c ON o_custkey = c_custkey
