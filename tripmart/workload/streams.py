@@ -65,10 +65,9 @@ def stream_hourly(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-def _land(spark, sf_dir):
-    """Messages of the completed rides, and documents as malformed ones, landed by a stream."""
+def _land(spark, sf_dir, ours):
+    """Messages of rides, and documents as malformed ones, landed by a stream."""
     sent, bronze = work_dir(spark, "live_sent"), work_dir(spark, "live_bronze")
-    ours = inputs.rides(spark, sf_dir).where("ride_status_id = 1")
     messages.to_messages(ours).unionByName(
         table(spark, sf_dir, "documents").select(
             *[(F.col("text").cast("binary") if f.name == "value" else F.lit(None).cast(f.dataType)).alias(f.name)
@@ -78,11 +77,11 @@ def _land(spark, sf_dir):
     return bronze
 
 
-@query(with_(RIDES) + """SELECT 'message' AS kind, count(*) AS n FROM rides WHERE ride_status_id = 1
+@query(with_(RIDES) + """SELECT 'message' AS kind, count(*) AS n FROM rides
        UNION ALL SELECT 'text', count(*) FROM documents""")
 def stream_bronze(spark, sf_dir):
     """Landed messages by kind."""
-    landed = spark.read.parquet(_land(spark, sf_dir))
+    landed = spark.read.parquet(_land(spark, sf_dir, inputs.rides(spark, sf_dir)))
     kind = F.when(F.col("topic") == "rides", "message").otherwise("text")
     return landed.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
@@ -94,7 +93,8 @@ def stream_silver(spark, sf_dir):
     historical, silver = work_dir(spark, "stream_historical"), work_dir(spark, "stream_silver")
     inputs.rides(spark, sf_dir).where("ride_status_id = 2").write.parquet(historical)
     envelope = ENVELOPE
-    united = live.unite_feeds(_stream(spark, _land(spark, sf_dir), envelope),
+    completed = inputs.rides(spark, sf_dir).where("ride_status_id = 1")
+    united = live.unite_feeds(_stream(spark, _land(spark, sf_dir, completed), envelope),
                               _stream(spark, historical, RIDE), dedup=False)
     start(live.write_silver(united, silver), work_dir(spark, "stream_silver_checkpoint")).awaitTermination()
     good = live.read_silver(spark, silver).drop("_ingested_at")
