@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripmart.llm.hashing import rows_of
-from tripmart.llm.text import column, written
+from tripmart.llm.text import column, drawn, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The bounded sample a language is learned from: documents, none longer than so many characters.
@@ -164,7 +164,7 @@ def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, sa
           rounds: int = ROUNDS) -> Model:
     """A model from labelled documents (`doc_id`, `text`, `lang`): priors count all of them, pieces a bounded sample.
 
-    The sample takes, per language, the `sample_docs` documents with the smallest hash of their id among those of at
+    The sample takes, per language, the `sample_docs` documents with the smallest drawn number among those of at
     most `sample_chars` characters (all rows are looked at; `sample_docs` bounds what is learned from). Word counts of
     the sample meet in one task; the driver gets one number per piece and language.
     """
@@ -173,9 +173,11 @@ def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, sa
     langs = sorted(priors)
     if not langs:
         return Model([], np.zeros(0), pieces, np.zeros((len(pieces) + 2, 0)))
-    nearest = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(F.length("text") <= sample_chars).select("doc_id", "lang").withColumn(
-        "_place", F.row_number().over(nearest)).where(F.col("_place") <= sample_docs)
+    # Only about four times the sample is put in order, however many documents there are.
+    share = F.create_map(*[F.lit(x) for lang, n in priors.items() for x in (lang, min(1.0, 4 * sample_docs / n))])
+    near = known.where((F.length("text") <= sample_chars) & (drawn(F.col("doc_id")) < share[F.col("lang")]))
+    nearest = Window.partitionBy("lang").orderBy(drawn(F.col("doc_id")), "doc_id")
+    chosen = near.select("doc_id", "lang").withColumn("_place", F.row_number().over(nearest)).where(F.col("_place") <= sample_docs)
     # at most `sample_docs` rows per language
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
     sample = known.join(chosen, F.expr("doc_id = _id AND lang = _lang"), "left_semi").where(

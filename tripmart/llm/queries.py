@@ -93,7 +93,35 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@query()
+_TEMPLATES = ", ".join(f"({i}, '{t.label}', {t.base}, string_split('{t.text}', ' '))" for i, t in enumerate(licenses.TEMPLATES))
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM.format('text')} AS w FROM documents),
+t(id, label, base, words) AS (VALUES {_TEMPLATES}),
+g AS (
+  SELECT id, label, base, len(words) AS n, k, q, array_to_string(words[q + 1 : q + k], ' ') AS gram
+  FROM t, LATERAL (SELECT least(len(words), 3) AS k) AS a, unnest(range(0, len(words) - k + 1)) AS u(q)),
+x AS (SELECT r, k, p, array_to_string(w[p + 1 : p + k], ' ') AS gram FROM d, (VALUES (2), (3)) AS a(k), unnest(range(0, len(w) - k + 1)) AS u(p)),
+v AS (SELECT DISTINCT r, id, label, base, n, k, q, p - q AS diagonal FROM x JOIN g USING (k, gram)),
+b AS (SELECT r, label, diagonal AS first_word, 1.0::DOUBLE AS coverage FROM v WHERE base GROUP BY r, id, label, diagonal, n, k HAVING count(*) = n - k + 1),
+m AS (
+  SELECT DISTINCT r, id, diagonal,
+    coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, id ORDER BY diagonal) > 3, true) AS new
+  FROM (SELECT DISTINCT r, id, diagonal FROM v WHERE NOT base)),
+c AS (SELECT r, id, diagonal, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r, id ORDER BY diagonal) AS cluster FROM m),
+l AS (
+  SELECT r, label, count(DISTINCT q + j) / any_value(n) AS coverage
+  FROM v JOIN c USING (r, id, diagonal), unnest(range(0, k)) AS u(j) GROUP BY r, id, label, cluster
+  HAVING count(DISTINCT q + j) / any_value(n) >= 0.8),
+f AS (
+  SELECT r, count(first_word) AS n_base, min(first_word) AS first_word, max(first_word) AS last_word,
+    string_agg(DISTINCT CASE WHEN first_word IS NOT NULL THEN label END, ',' ORDER BY CASE WHEN first_word IS NOT NULL THEN label END) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM (SELECT r, label, first_word, coverage FROM b UNION ALL SELECT r, label, NULL, coverage FROM l) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN f USING (r)""")
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word",

@@ -49,6 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drawn(column_: Column) -> Column:
+    """A fixed number in [0, 1) for a value, spread evenly over values: what samples are ordered by."""
+    return F.pmod(F.xxhash64(column_), F.lit(1 << 32)) / F.lit(float(1 << 32))
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names for working columns that the frame does not use (its names are compared without case)."""
     taken, out = {c.lower() for c in df.columns}, []
