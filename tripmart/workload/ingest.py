@@ -175,7 +175,7 @@ def csv_roundtrip(spark, sf_dir):
     path = work_dir(spark, "csv_roundtrip")
     files.write_csv(part, path)
     paths = [r.file_path for r in files.list_files(spark, path).select("file_path").collect()]
-    return files.read_files(spark, paths, "csv", part.schema).drop(files.SOURCE_PATH)
+    return files.read_files(spark, paths, "csv", part.schema).drop(files.SOURCE_PATH, files.EXTRA)
 
 
 @query("SELECT * FROM supplier")
@@ -183,7 +183,7 @@ def json_roundtrip(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier")
     path = work_dir(spark, "json_roundtrip")
     files.write_json(supplier, path)
-    return files.read_files(spark, [path], "json", supplier.schema, multi_line=False).drop(files.SOURCE_PATH)
+    return files.read_files(spark, [path], "json", supplier.schema, multi_line=False).drop(files.SOURCE_PATH, files.EXTRA)
 
 
 @query("""SELECT conv_id, turn, role, text FROM conversations""")
@@ -193,7 +193,7 @@ def csv_text_roundtrip(spark, sf_dir):
     path = work_dir(spark, "csv_text_roundtrip")
     files.write_csv(talks, path)
     paths = [r.file_path for r in files.list_files(spark, path).select("file_path").collect()]
-    return files.read_files(spark, paths, "csv", talks.schema, multi_line=True).drop(files.SOURCE_PATH)
+    return files.read_files(spark, paths, "csv", talks.schema, multi_line=True).drop(files.SOURCE_PATH, files.EXTRA)
 
 
 @query(with_(RIDES) + "SELECT *, CASE WHEN ride_status_id = 1 THEN 'csv' ELSE 'json' END AS carrier FROM rides")
