@@ -20,7 +20,7 @@ SHINGLE, PERCENT = 5, 85
 #: bands with a probability of (1 - 0.85^5)^32 = 7e-9.
 PERMUTATIONS, BAND = 80, 5
 #: From the second round on, so many members of a bucket are compared with all others at a time.
-LEADERS = 16
+LEADERS = 64
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
                         ("bands", pa.list_(pa.int64()))])
@@ -167,13 +167,15 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         left = written(named.join(open_.select("bucket"), "bucket", "left_semi"), "neardup-left")
         if left.isEmpty():
             break
-        place = Window.partitionBy("bucket").orderBy(F.col("n") - F.col("v"), "node")
-        leading = written(left.withColumn("place", F.row_number().over(place)).where(F.col("place") <= width).select(
+        # small components lead: once all but the largest one of a bucket have led, nothing is left to compare
+        members_of = left.groupBy("bucket", "label").agg(F.count("*").alias("size"))
+        place = Window.partitionBy("bucket").orderBy("size", F.col("n") - F.col("v"), "node")
+        leading = written(left.join(members_of, ["bucket", "label"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= width).select(
             "bucket", F.col("node").alias("b"), F.col("label").alias("of"), F.col("n").alias("m"), F.col("v").alias("w")),
             "neardup-leading")
-        later = F.expr("(n - v, node) > (m - w, b)")
-        pairs = left.join(leading, "bucket").where((F.col("label") != F.col("of")) & later & may_link).select(
-            F.col("node").alias("a"), "b").distinct()
+        # between two leaders, whichever of the two pairs has the larger node first
+        ends = [F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")]
+        pairs = left.join(leading, "bucket").where((F.col("label") != F.col("of")) & may_link).select(*ends).distinct()
         found = written(_confirmed(pairs, sets, percent), "neardup-links")
         labels = components(found, "a", "b") if labels is None else _relabel(labels, found)
         left = left.join(leading.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").drop("label")
