@@ -15,6 +15,7 @@ from tripmart import rules
 from tripmart.functions.columns import (
     active, band, band_value, great_circle_km, in_any_range, minutes_between,
 )
+from tripmart.operators.asof import asof_join
 from tripmart.operators.joins import duplicate_keys, orphans
 from tripmart.operators.sizing import small_side
 
@@ -158,18 +159,22 @@ _NEED_REASONS = {"status"}
 
 
 def audit_rides(rides: DataFrame, options: DataFrame | None = None, reasons: DataFrame | None = None,
-                groups: Iterable[str] = GROUPS) -> DataFrame:
+                groups: Iterable[str] = GROUPS, at: str | None = None) -> DataFrame:
     """(ride_id, rule_id) of every broken rule of the chosen groups, in one pass over the rides.
 
-    `options` must have one row per option, retired ones too: they were valid for old rides. An unknown option breaks no
-    fare rule; `integrity` reports it.
+    `options` has one row per option, retired ones too: they were valid for old rides. With `at`, a time of the rides, it
+    is the versioned dimension, and each ride is held against the option as it was then (or its first version). An
+    unknown option breaks no fare rule; `integrity` reports it.
     """
     groups = list(groups)
     if _NEED_OPTIONS & set(groups):
-        wanted = with_option_rules(options, retired=True).select(
-            F.col("ride_option_id").alias("_option"), "base_rate", "per_km", "per_minute", "passenger_capacity",
-            "min_passengers_ratio", "distance_weights")
-        rides = rides.join(small_side(wanted), F.col("ride_option_id") == F.col("_option"), "left")
+        columns = ["base_rate", "per_km", "per_minute", "passenger_capacity", "min_passengers_ratio", "distance_weights"]
+        wanted = with_option_rules(options, retired=True)
+        if at:
+            rides = asof_join(rides, wanted, "ride_option_id", at, columns)
+        else:
+            wanted = wanted.select(F.col("ride_option_id").alias("_option"), *columns)
+            rides = rides.join(small_side(wanted), F.col("ride_option_id") == F.col("_option"), "left")
     if _NEED_REASONS & set(groups):
         wanted = reasons.select(F.col("cancellation_reason_id").alias("_reason"), "initiator")
         rides = rides.join(small_side(wanted), F.col("cancellation_reason_id") == F.col("_reason"), "left")

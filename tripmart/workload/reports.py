@@ -237,6 +237,22 @@ for _group, _names in _GROUP_RULES.items():
         lambda spark, sf_dir, group=_group: _broken(spark, sf_dir, [group]))
 
 
+_CHOSEN = ", ".join(f"coalesce(o.{c}, e.{c}) AS {c}" for c in ("base_rate", "per_km", "per_minute", "passenger_capacity"))
+_AUDIT_VERSIONS = (FACT_CTE, DIM_OPTION, _RULES_CTE, f"""checked AS (
+    SELECT f.*, {_CHOSEN}, q.*, {_TIER} AS tier
+    FROM fact f ASOF LEFT JOIN dim_option o ON f.ride_option_id = o.ride_option_id AND f.booking_timestamp >= o.__START_AT
+    LEFT JOIN (SELECT * FROM dim_option QUALIFY row_number() OVER (PARTITION BY ride_option_id ORDER BY __START_AT) = 1) e
+      ON e.ride_option_id = f.ride_option_id
+    LEFT JOIN option_rules q ON f.ride_option_id = q.oid)""")
+
+
+@query(with_(*_AUDIT_VERSIONS) + _broken_sql([*_GROUP_RULES["fare"], "option_not_suitable", "passengers"]))
+def audit_versions(spark, sf_dir):
+    """Fares, suitability and passengers by the option's version at booking; rates and activity change by month."""
+    return audits.audit_rides(inputs.fact(spark, sf_dir), inputs.dim(spark, sf_dir, "dim_ride_option"),
+                              groups=["fare", "suitability", "passengers"], at="booking_timestamp")
+
+
 @query(with_(*_AUDIT) + f"SELECT rule_id, count(*) AS rows_broken FROM ({_broken_sql(_RULES)}) GROUP BY 1")
 def audit_summary(spark, sf_dir):
     return audits.audit_summary(_broken(spark, sf_dir))
