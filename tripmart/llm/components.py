@@ -22,6 +22,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node, or has others hang on it, and not both."""
+    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return roles.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where(
+        "hangs > 1 OR hangs + holds > 1").isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """`node`, `label` for every node of a link: label is the smallest node that links reach.
 
@@ -32,12 +40,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") > F.col("b"))).distinct()
     edges = written(edges, "components")
-    seen = None
-    while True:
+    while not _stars(edges):
         edges = written(_small_star(_large_star(edges)).distinct(), "components")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            break
-        seen = now
     tops = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(tops)
