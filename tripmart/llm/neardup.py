@@ -19,7 +19,7 @@ SHINGLE, PERCENT = 5, 85
 #: 80 permutations, whose minima and maxima make 160 values in 32 bands of 5. A pair at similarity 0.85 misses all
 #: bands with a probability of (1 - 0.85^5)^32 = 7e-9.
 PERMUTATIONS, BAND = 80, 5
-#: From the second round on, so many members of a bucket are compared with all others at a time.
+#: After its middle, so many members of a bucket are compared with the others at a time.
 LEADERS = 64
 
 _SIGNATURE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
@@ -81,21 +81,21 @@ def _sets(shingle: int):
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches):
-            linked = []
+            shared, linked = [], []
             for x, y in zip(rows.column("x"), rows.column("y")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            keep = pa.array(linked, pa.bool_())
-            yield pa.record_batch([rows.column("a").filter(keep), rows.column("b").filter(keep)], names=["a", "b"])
+                shared.append(len(np.intersect1d(x, y, assume_unique=True)))
+                linked.append(100 * shared[-1] >= percent * (len(x) + len(y) - shared[-1]))
+            yield pa.record_batch([rows.column("a"), rows.column("b"), pa.array(shared, pa.int64()),
+                                   pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs `a`, `b` whose full sets are alike enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs `a`, `b` with `shared`, the size of the intersection of their full sets, and whether they are `linked`."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary, shared long, linked boolean")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +131,11 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     Texts with 100 * intersection >= percent * union of their shingle sets are linked; `component_id` is the
     smallest doc_id of a component. Sets that are equal are one node from the start, so copies cost nothing. Nodes
-    that share a band meet in a bucket. No bucket is expanded into pairs: one leader is compared with all others,
-    then `leaders` more at a time, on full sets, and those are done and leave the bucket. Members that are in one
-    component by then need no comparison. A bucket is finished when all that is left in it is one component, so no
-    link between candidates is lost, whatever a bucket's size. Leaders are those with the fewest shingles that no other
-    set has, which stand in the middle of a family of copies, and sets with too many such shingles to be linked with
-    anything in a bucket are left out of it: an exact bound.
+    that share a band meet in a bucket. No bucket is expanded into pairs: its middle, the set with the fewest
+    shingles that no other set has, is compared with all others on full sets. Then `leaders` more at a time are compared
+    with those that are not in their component by then and that, by what both share with the middle, can be linked
+    at all (an exact bound), and leave the bucket. A bucket is finished when all that is left in it is one component,
+    so no link between candidates is lost, whatever a bucket's size.
 
     Null or empty texts, or texts without words, have no shingles and are linked with nothing. Equal doc_ids of
     different texts are separate rows. A null doc_id never names a component: its row is kept if no other document
@@ -157,12 +156,21 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     texts = docs.select("doc_id", "text").join(wanted, F.expr("doc_id <=> _id")).select("node", "text")
     sets = written(texts.mapInArrow(_sets(shingle), "id long, node binary, shingles binary"), "neardup-sets")
 
-    left = written(_hopeful(members.join(_common(sets), "node"), percent), "neardup-left")
-    may_link = F.expr(f"100 * least(v, w) >= {percent} * (n + m - least(v, w))")
-    labels, width = None, 1
+    members = written(_hopeful(members.join(_common(sets), "node"), percent), "neardup-members")
+    middle = members.groupBy("bucket").agg(F.min(F.struct(F.expr("n - v"), "node")).alias("_m"))
+    members = members.join(middle.select("bucket", F.col("_m.node").alias("middle")), "bucket")
+    others = members.where("node <> middle")
+    compared = written(_compared(others.select(F.col("node").alias("a"), F.col("middle").alias("b")).distinct(), sets, percent),
+                       "neardup-compared")
+    labels = components(compared.where("linked"), "a", "b")
+    left = others.join(compared.select(F.col("a").alias("node"), F.col("b").alias("middle"), F.col("shared").alias("s")),
+                       ["node", "middle"]).drop("middle")
+
+    # What two sets share lies in the middle of their bucket, or outside of it in shingles that are not theirs alone.
+    most = "(least(s, t) + least(v - s, w - t))"
+    may_link = F.expr(f"100 * {most} >= {percent} * (n + m - {most})")
     while True:
-        named = left.withColumn("label", F.col("node")) if labels is None else left.join(labels, "node", "left").select(
-            *left.columns, F.coalesce("label", "node").alias("label"))
+        named = left.join(labels, "node", "left").select(*left.columns, F.coalesce("label", "node").alias("label"))
         open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         left = written(named.join(open_.select("bucket"), "bucket", "left_semi"), "neardup-left")
         if left.isEmpty():
@@ -170,19 +178,16 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         # small components lead: once all but the largest one of a bucket have led, nothing is left to compare
         members_of = left.groupBy("bucket", "label").agg(F.count("*").alias("size"))
         place = Window.partitionBy("bucket").orderBy("size", F.col("n") - F.col("v"), "node")
-        leading = written(left.join(members_of, ["bucket", "label"]).withColumn("place", F.row_number().over(place)).where(F.col("place") <= width).select(
-            "bucket", F.col("node").alias("b"), F.col("label").alias("of"), F.col("n").alias("m"), F.col("v").alias("w")),
-            "neardup-leading")
+        leading = written(left.join(members_of, ["bucket", "label"]).withColumn("place", F.row_number().over(place)).where(
+            F.col("place") <= leaders).select("bucket", F.col("node").alias("b"), F.col("label").alias("of"),
+                                              F.col("n").alias("m"), F.col("v").alias("w"), F.col("s").alias("t")), "neardup-leading")
         # between two leaders, whichever of the two pairs has the larger node first
         ends = [F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")]
         pairs = left.join(leading, "bucket").where((F.col("label") != F.col("of")) & may_link).select(*ends).distinct()
-        found = written(_confirmed(pairs, sets, percent), "neardup-links")
-        labels = components(found, "a", "b") if labels is None else _relabel(labels, found)
+        found = written(_compared(pairs, sets, percent), "neardup-compared")
+        labels = _relabel(labels, found.where("linked"))
         left = left.join(leading.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti").drop("label")
-        width = leaders
 
-    if labels is None:
-        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     named = signed.join(labels, F.col("digest") == F.col("node"), "left").select(
         "doc_id", "text_hash", "n_shingles", F.coalesce("label", "digest").alias("label"))
     named = written(named, "neardup-named")
