@@ -38,9 +38,12 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of every run of k bytes (k a power of two), by doubling."""
     h, reach = _BYTES[data], 1
     while reach < k:
-        h = mix64(h[:-reach] * np.uint64(0x9FB21C651E98DF25) + h[reach:]) if len(h) > reach else h[:0]
+        if len(h) <= reach:
+            return h[:0]
+        h = h[:-reach] * np.uint64(0x9FB21C651E98DF25) + h[reach:]
+        h ^= h >> np.uint64(32)
         reach *= 2
-    return h
+    return mix64(h)
 
 
 def smallest(hashes: np.ndarray, window: int) -> np.ndarray:
