@@ -11,6 +11,9 @@ from tripmart.llm.text import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Word shingles in common, in percent of the union, from which two documents of the corpus are near-duplicates.
+NEAR_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; texts without letters or of no clear language go."""
@@ -19,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    return neardup.first_of_each(docs)
+    return neardup.first_of_each(docs, percent=NEAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
