@@ -316,6 +316,39 @@ def test_scores(docs, no_docs, frequent):
     assert {r.n_known for r in lm.score(docs, empty, none).collect()} == {0}
 
 
+def test_model_learns_from_all_texts(spark):
+    """One text far above 20,000 characters and 2,500 short ones: pairs, weights and share know both."""
+    rng = random.Random(2)
+    rows = [(0, " ".join(rng.choice(["alpha beta", "gamma delta"]) for _ in range(6000)))]
+    rows += [(i, f"epsilon zeta {i % 7}") for i in range(1, 2501)] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, _ = lm.train(df, lm.read_vocabulary())
+    coder, want = lm.Subwords(model.vocabulary), np.zeros((lm.CLASSES, lm.CLASSES))
+    for _, text in rows:
+        classes = [lm.END, *(model.classes[i] for w in hashing.spaced_words(text) for i in coder.ids(w)), lm.END]
+        np.add.at(want, (classes[:-1], classes[1:]), 1)
+    assert (lm.count_pairs(df, model) == want).all()
+    first = lm.Attention.start(want).p
+    assert all(np.abs(model.attention.p[x] - first[x]).max() > 0.01 for x in lm.Attention.NAMES)
+    a, b, c = (model.classes[coder.ids(w)[0]] for w in (b"alpha", b"gamma", b"epsilon"))
+    scores = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(
+        [(1, "alpha beta " * 12), (2, "beta alpha " * 12)], df.schema), *lm.train(df.where("doc_id = 0"), model.vocabulary)).collect()}
+    assert len({a, b, c}) == 3 and scores[1] > scores[2] + 1
+
+
+def test_every_window_is_learned():
+    rng = np.random.default_rng(4)
+    lengths = np.array([1, 24, 25, 700])
+    classes, ends = rng.integers(0, lm.CLASSES, lengths.sum()), np.cumsum(lengths)
+    learner = lm.Learner(lm.Attention.start(np.ones((lm.CLASSES, lm.CLASSES))))
+    taken, learn = [], learner.learn
+    learner.learn = lambda seen, ahead, valid: taken.append(ahead[valid]) or learn(seen, ahead, valid)
+    assert (learner.texts(classes, ends - lengths, ends) < 0).all() and learner.windows == 1 + 1 + 2 + 30
+    assert Counter(np.concatenate(taken).tolist()) == Counter(classes.tolist())
+    learner.finish()
+    assert learner.step == lm.STEPS
+
+
 # archives -----------------------------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/", "x"), (2, "http://b/ü", "<p>é</p>"), (3, None, None), (4, "http://c/\r\nX: y", ""), (5, "u", "<p>é</p>"),
