@@ -1,5 +1,7 @@
 """Mixing, decontamination and licence scans against brute force."""
 
+import hashlib
+import math
 import re
 import string
 from collections import Counter, defaultdict
@@ -67,6 +69,24 @@ def test_plan(docs, rows_per_slice):
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.plan_mix(docs, rows_per_slice=rows_per_slice).collect()), key=str)
 
 
+@pytest.mark.parametrize("rows_per_slice", [mixing.ROWS_PER_SLICE, 2])
+def test_one_order_at_every_size(spark, docs, rows_per_slice):
+    """Places by size desc, doc_id with null last: the order of the SQL twin, not of any cut."""
+    rows = [(i * 7919 % 1000, "w " * (1 + i % 2), f"s{i % 3}") for i in range(600)] + [(None, "w", "s0"), (5, "w v", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.plan_mix(df, rows_per_slice=rows_per_slice).collect()
+    assert len(plan) == len(rows)
+    want, target = {}, {r.source: r.target / r.source_size for r in plan}
+    for source, share in target.items():
+        digest = hashlib.md5(("17:" + ("\x01" if source is None else source)).encode()).hexdigest()
+        up_to = lambda place: math.floor(place * share + int(digest[:8], 16) / 2**32)
+        of = sorted((r for r in rows if r[2] == source), key=lambda r: (-len(spaced(r[1])), r[0] is None, r[0]))
+        want |= {(i, source): min(up_to(n + 1) - up_to(n), 3) for n, (i, _, _) in enumerate(of)}
+    assert {(r.doc_id, r.source): r["copies"] for r in plan} == want
+    key = lambda frame: sorted(map(tuple, frame.collect()), key=str)
+    assert key(mixing.plan_mix(docs, rows_per_slice=rows_per_slice)) == key(mixing.plan_mix(docs))
+
+
 def test_mix_emits_what_is_planned(docs):
     plan = Counter()
     for r in mixing.plan_mix(docs).collect():

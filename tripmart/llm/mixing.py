@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripmart.llm.text import SPACE, column, free_names, words, written
 
-#: Documents of one source and size that one task ranks; larger groups are cut by a hash.
+#: About so many documents stand in one range of the order.
 ROWS_PER_SLICE = 100_000
 
 
@@ -55,35 +55,34 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     emitted once for every whole number that its own share of the sum crosses. So no document is taken more than
     `most` times, and a source misses its target by about one large document at most.
 
-    The place in the order needs no task that sees a whole source: documents of equal size may stand in any order
-    among themselves, so counts per (source, size) give the places, and a (source, size) above `rows_per_slice` is
-    cut further by a hash. Null text has size 0; null sources are one source; rows with equal ids are separate
-    documents; no rows give no rows. A source without words has target 0.
+    Documents of equal size stand by doc_id, null last, then by text, however many they are. The place in the order
+    needs no task that sees a whole source: the order is cut into ranges of about `rows_per_slice` rows anywhere, also
+    within one size or id, and the counts per range and source give where each begins. Null text has size 0; null
+    sources are one source; rows with equal ids are separate documents; no rows give no rows. A source without words
+    has target 0.
     """
     base = written(docs.select("doc_id", "source", _text_hash(docs).alias("_text"),
-                               F.size(words(docs["text"], SPACE)).cast("long").alias("size")), "mix-sizes")
+                               F.size(words(docs["text"], SPACE)).cast("long").alias("size"),
+                               F.monotonically_increasing_id().alias("_row")), "mix-sizes")
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
 
-    full = base.groupBy("source", "size").count().where(F.col("count") > rows_per_slice).select(
-        F.col("source").alias("_source"), F.col("size").alias("_of"), F.ceil(F.col("count") / rows_per_slice).alias("_slices"))
-    # at most one row per `rows_per_slice` documents
-    sliced = base.join(F.broadcast(full), F.expr("source <=> _source AND size = _of"), "left").select(
-        "doc_id", "source", "size", "_text",
-        F.pmod(F.xxhash64("doc_id", "_text"), F.coalesce("_slices", F.lit(1))).alias("_slice"))
-
-    in_order = Window.partitionBy("source").orderBy(F.col("size").desc(), F.col("_slice"))
-    counts = sliced.groupBy("source", "size", "_slice").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn(
+    # the number of a row tells equal rows apart, so that no value is too frequent for one range
+    order = [F.col("source"), F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("_text"), F.col("_row")]
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-base.count() // rows_per_slice))
+    # rows of a range are numbered one by one in the order, so those of one source in it have numbers without gaps
+    ordered = written(base.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(
+        "doc_id", "source", "size", "_text", F.monotonically_increasing_id().alias("_at")), "mix-order")
+    ordered = ordered.withColumn("_slice", F.shiftright("_at", 33))
+    in_order = Window.partitionBy("source").orderBy("_slice")
+    starts = ordered.groupBy("source", "_slice").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     targets = targets.withColumnRenamed("source", "_source")
     starts = starts.join(targets, F.expr("source <=> _source")).select(
-        F.col("source").alias("_source"), F.col("size").alias("_of"), F.col("_slice").alias("_part"), "_before",
-        "source_size", "target")
+        F.col("source").alias("_source"), F.col("_slice").alias("_part"), "_before", "_first", "source_size", "target")
 
-    ranked = sliced.withColumn(
-        "_at", F.row_number().over(Window.partitionBy("source", "size", "_slice").orderBy("doc_id")))
-    placed = ranked.join(starts, F.expr("source <=> _source AND size = _of AND _slice = _part")).select(
-        "doc_id", "source", "size", "_text", "source_size", "target", (F.col("_before") + F.col("_at")).alias("_place"))
+    placed = ordered.join(starts, F.expr("source <=> _source AND _slice = _part")).select(
+        "doc_id", "source", "size", "_text", "source_size", "target",
+        (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("_place"))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     up_to = lambda place: F.floor(place * share + _offset(F.col("source"), seed))
     copies = F.least(up_to(F.col("_place")) - up_to(F.col("_place") - 1), F.lit(most))
