@@ -177,6 +177,18 @@ def test_sentence_dedup(docs, no_docs):
     assert sentences.dedup(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("n_words", [20, 29, 39])
+def test_one_repeated_sentence(spark, n_words):
+    """A sentence of 20 to 39 words between neighbours that differ."""
+    one = lambda name, n: " ".join(f"{name}{i}" for i in range(n)) + "."
+    shared = one("s", n_words)
+    rows = [(i, f"{one(f'a{i}x', 15)} {shared} {one(f'b{i}x', 15)}") for i in range(3)]
+    got = {r.doc_id: r for r in sentences.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_removed == 0
+    for i, text in rows[1:]:
+        assert got[i].n_removed == 1 and got[i].text == text.replace(shared + " ", "")
+
+
 # substrings ---------------------------------------------------------------------------------------------------------
 
 def test_suffix_array_of_all_small_texts():

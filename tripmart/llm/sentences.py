@@ -14,8 +14,8 @@ from xxhash import xxh3_64_intdigest
 from tripmart.llm.hashing import rows_of
 from tripmart.llm.text import column, written
 
-#: A span is several consecutive sentences with at least so many words together; a longer sentence is one by itself.
-SPAN_WORDS, LONE_WORDS = 20, 40
+#: A span is several consecutive sentences with at least so many words together, or one sentence with so many by itself.
+SPAN_WORDS, LONE_WORDS = 20, 20
 
 #: Every character of a text belongs to one sentence: up to and with its end marks and the white space after them.
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n \t\r]*|[.!?\n \t\r]+")
@@ -118,7 +118,8 @@ def later_spans(docs: DataFrame, span_words: int = SPAN_WORDS, lone_words: int =
 def dedup(docs: DataFrame, span_words: int = SPAN_WORDS, lone_words: int = LONE_WORDS) -> DataFrame:
     """`doc_id`, `text` (what is kept), `n_sentences`, `n_removed` of every document.
 
-    Every run of several consecutive sentences with `span_words` words together is hashed and joined globally. The
+    Every run of several consecutive sentences with `span_words` words together, and every sentence with `lone_words`,
+    is hashed and joined globally. Runs with fewer words, and what is shared within sentences only, stay. The
     first occurrence (smallest doc_id, then place) stays; sentences that any other occurrence covers go. Null text stays
     null. Null doc_ids come last; rows with one id, null included, are versions of one document and are not compared
     with each other. Texts of one sentence lose it only if it has `lone_words` words. No rows give no rows.
