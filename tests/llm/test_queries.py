@@ -16,5 +16,5 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     assert compare(spark, con, queries.QUERIES[name], queries.SQL[name], sf_dir) is None
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))

@@ -13,13 +13,18 @@ from tripmart.llm import (
     langid,
     licenses,
     lm,
+    merkle,
     mixing,
     neardup,
+    negatives,
     sentences,
     substrings,
+    urls,
     warc,
 )
 
+from tripmart.llm.text import lower_ascii
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -209,3 +214,111 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS
   sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (r)""")
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+
+@query(f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF.format(text='text')} AS leaf,
+    {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered FROM documents),
+crc(b, c, k) AS (
+  SELECT b, b::UBIGINT, 0 FROM range(256) AS t(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+code(r, id, pos, c) AS (
+  SELECT r, CAST(doc_id AS VARCHAR), 1, 4294967295::UBIGINT FROM d WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT r, id, pos + 1, xor(code.c >> 8, crc.c) FROM code
+    JOIN crc ON k = 8 AND crc.b = xor(code.c, ascii(id[pos])::UBIGINT) & 255 WHERE pos <= len(id)),
+flag AS (SELECT r, xor(c, 4294967295::UBIGINT) % 3 = 0 AS tampered FROM code WHERE pos = len(id) + 1),
+place AS (
+  SELECT d.*, CASE WHEN tampered THEN lowered ELSE leaf END AS shown, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM d LEFT JOIN flag USING (r)),
+node(lang, level, i, h, m) AS (
+  SELECT lang, 0, i, leaf, count(*) OVER (PARTITION BY lang) FROM place
+  UNION ALL
+  SELECT lang, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 7) // 8
+  FROM node WHERE m > 1 GROUP BY lang, level, i // 8),
+sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS li FROM node WHERE m = 1),
+top(level, i, h, m) AS (
+  SELECT 0, li, subroot, count(*) OVER () FROM sub
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 7) // 8
+  FROM top WHERE m > 1 GROUP BY level, i // 8),
+step AS (
+  SELECT a.lang, a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS g
+  FROM node AS a JOIN node AS b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND a.i // 8 = b.i // 8
+  WHERE a.m > 1 GROUP BY ALL),
+up AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS g
+  FROM top AS a JOIN top AS b ON a.level = b.level AND a.i // 8 = b.i // 8 WHERE a.m > 1 GROUP BY ALL),
+way AS (
+  SELECT r, level AS k, l, g FROM place JOIN step
+    ON place.lang IS NOT DISTINCT FROM step.lang AND step.i = CAST(floor(place.i / pow(8, level)) AS BIGINT)
+  UNION ALL
+  SELECT r, 100 + level, l, g FROM place JOIN sub ON place.lang IS NOT DISTINCT FROM sub.lang
+    JOIN up ON up.i = CAST(floor(li / pow(8, level)) AS BIGINT)),
+path AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS n FROM way),
+folded(r, n, h) AS (
+  SELECT r, 0, shown FROM place
+  UNION ALL SELECT f.r, f.n + 1, sha256(l || h || g) FROM folded AS f JOIN path AS p ON p.r = f.r AND p.n = f.n + 1),
+last AS (SELECT r, arg_max(h, n) AS folded_root FROM folded GROUP BY r),
+proof AS (SELECT r, string_agg(l || g, '' ORDER BY n) AS p FROM path GROUP BY r)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = top.h AS verified
+FROM place JOIN sub ON place.lang IS NOT DISTINCT FROM sub.lang JOIN top ON top.m = 1 JOIN last USING (r) LEFT JOIN proof USING (r)""")
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    shown = [lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in fields]
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string")) % 3 == 0) & F.col("text").isNotNull(),
+                      merkle.digest(*[merkle.field(c) for c in shown]))
+    rows = merkle.manifest(docs, "lang", "doc_id", fields, [F.col("doc_id"), tampered.alias("tampered")])
+    folded = rows.withColumn("folded_root", merkle.fold(F.coalesce("item.tampered", "leaf"), F.col("path")))
+    return folded.select("item.doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""")
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", F.col("vec_id") % 100 == 0)
+
+
+def _like(glob: str) -> str:
+    return "".join({"*": "%", "?": "_", "%": "$%", "_": "$_", "$": "$$", "'": "''"}.get(c, c) for c in glob)
+
+
+_GLOBS = ", ".join(f"({i}, '{r.verdict}', '{r.name}', {r.listed}, {len(r.name) if r.listed else r.literals}, '{_like(r.host)}', '{_like(r.path)}')"
+                   for i, r in enumerate(urls.RULES))
+
+
+@query(f"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+g(i, verdict, name, listed, size, hosts, paths) AS (VALUES {_GLOBS}),
+w AS (
+  SELECT r, arg_min(g, (NOT listed, -size, i)) AS best FROM p JOIN g ON '.' || host LIKE hosts ESCAPE '$' AND path LIKE paths ESCAPE '$' GROUP BY r)
+SELECT page_id, host, path, CASE WHEN best.listed THEN best.name END AS rule, best.name AS glob,
+  coalesce(best.verdict, '{urls.DEFAULT}') AS verdict FROM p LEFT JOIN w USING (r)""")
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
