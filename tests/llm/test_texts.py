@@ -217,13 +217,29 @@ def brute_cut(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_anchors": 0}, {"most_contexts": 2}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_anchors": 0}, {"most_contexts": 2}, {"most_contexts": 1}])
 def test_substrings(docs, options):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = substrings.dedup(docs, **options).drop("kept").collect()
     assert Counter(map(tuple, got)) == brute_cut(rows, 200)
 
 
+def test_bytes_decide_where_hashes_are_equal():
+    data = np.frombuffer(b"abcdabceabcdx", np.uint8)
+    starts, beside = np.array([0, 4, 8, 1, 0]), np.array([1, 1, 1, 1, 2])
+    for hashes in ([5, 5, 5, 5, 5], [7, 1, 7, 2, 7], [7, 7, 7, 2, 3], [7, 1, 7, 2, 3]):
+        met = substrings._met_again(data, starts, np.array(hashes, np.uint64), beside, 4)
+        assert met.tolist() == [True, False, True, False, False]
+
+
+def test_contexts_that_are_copies_are_sent_once(spark):
+    rng = random.Random(8)
+    shared = "".join(rng.choices("abcdef ", k=900))
+    rows = [(i, shared + str(i % 2) * 5) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, substrings.dedup(df, most_contexts=3).drop("kept").collect())) == brute_cut(rows, 200)
+
+
 def test_substrings_of_edited_copies(spark, no_docs):
     rng = random.Random(4)
     base = "".join(rng.choices("abcé ", k=1500))

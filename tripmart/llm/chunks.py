@@ -158,14 +158,15 @@ def compare_with_next(docs: DataFrame, partitions: Callable[[int], int] | None =
     neighbours beside each other, in order, and each partition is read as a stream. What is missing is the step from
     a partition's last row to the next partition's first: these rows (two a partition) are joined by partition number.
 
-    Null text is empty. Null ids come last; rows with equal ids follow each other by text. A single document follows
+    Null text is empty. Null ids come last; rows with equal ids follow each other by a digest of the text. The range
+    shuffle samples ids and digests only, so no text reaches the driver. A single document follows
     itself. No rows give no rows.
     """
     rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"),
                        F.coalesce(column(docs, "text"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    done = written(ranged.mapInArrow(_along, _SCHEMA), "chunks-neighbours")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
+    ranged = rows.withColumn("tie", F.md5("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    done = written(ranged.drop("tie").mapInArrow(_along, _SCHEMA), "chunks-neighbours")
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     # one row per partition that is not empty

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripmart.llm.text import NOT_ALNUM, column, free_names, gram_hashes, lower_ascii, row_key, words
+from tripmart.llm.text import NOT_ALNUM, column, free_names, gram_hashes, lower_ascii, row_key, words, written
 
 
 @dataclass(frozen=True)
@@ -81,10 +81,11 @@ def matches(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
         "_key", "_words", F.col("_g._k").alias("_k"), F.col("_g._at").alias("_at"), F.col("_g._gram").alias("_gram"))
     joined = flat.join(F.broadcast(wanted), ["_k", "_gram"]).where(
         F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_k")), " ") == F.col("_text"))
-    votes = joined.select("_key", "_template", "label", "base", "_len", "_k", "_place",
+    # Both kinds of spans are read from the votes. They are few, so writing them spares a second pass over the texts.
+    votes = written(joined.select("_key", "_template", "label", "base", "_len", "_k", "_place",
                           (F.col("_at") - F.col("_place")).alias("_diagonal")).groupBy(
         "_key", "_template", "label", "base", "_len", "_k", "_diagonal").agg(
-        F.collect_set("_place").alias("_places"))
+        F.collect_set("_place").alias("_places")), "licenses-votes")
 
     exact = votes.where(F.col("base") & (F.size("_places") == F.col("_len") - F.col("_k") + 1)).select(
         "_key", "label", "base", F.col("_diagonal").alias("first_word"),

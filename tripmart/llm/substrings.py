@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from tripmart.llm.hashing import mix64, odd_numbers, rows_of
 from tripmart.llm.suffixes import suffix_array
@@ -23,7 +23,7 @@ ANCHOR = 16
 EDGE = 8
 #: Repeated anchors up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ANCHORS = 4_000_000
-#: Contexts of one anchor that a task looks at together; strings of larger groups are compared by a shuffle.
+#: Different contexts of one anchor that a task looks at together; strings of more are compared by a shuffle.
 MOST_CONTEXTS = 10_000
 
 _SEGMENT = 1 << 20
@@ -97,23 +97,28 @@ def _data(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _kind(left: int, part: bytes) -> int:
+    """A context's digest: with the anchor's hash, 128 bits that stand for its bytes and the place of its anchor."""
+    return xxh3_64_intdigest(part, left) - (1 << 63)
+
+
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in rows_of(batches):
-            found, keys = [], []
+        for rows in rows_of(batches, 1 << 20):
+            anchors, kinds, keys = [], [], []
             for key, text in zip(rows.column("key").to_pylist(), rows.column("text")):
-                for _, part in segments(_data(text.as_py()), length):
-                    grams = gram_hashes(np.frombuffer(part, np.uint8), ANCHOR)
-                    found.append(grams[np.unique(smallest(grams, length - ANCHOR + 1))])
-                    keys.append(np.full(len(found[-1]), key, np.int64))
-            if found:
-                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))],
-                                      names=["anchor", "key"])
+                for h, _, left, part in contexts(_data(text.as_py()), length):
+                    anchors.append(h)
+                    kinds.append(_kind(left, part))
+                    keys.append(key)
+            if anchors:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in (anchors, kinds, keys)], names=["anchor", "kind", "key"])
     return run
 
 
-_CONTEXT = "anchor long, key long, doc_id long, start long, left int, data binary"
-_CONTEXT_NAMES = ["anchor", "key", "doc_id", "start", "left", "data"]
+_CONTEXT = "anchor long, kind long, key long, doc_id long, start long, left int, data binary"
+_CONTEXT_NAMES = ["anchor", "kind", "key", "doc_id", "start", "left", "data"]
+_CONTEXT_TYPES = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
 
 
 def _contexts(length: int, wanted: bool):
@@ -123,11 +128,10 @@ def _contexts(length: int, wanted: bool):
             out = []
             for key, doc_id, text, some in zip(*[rows.column(c).to_pylist() for c in ("key", "doc_id", "text")], only):
                 some = None if some is None else set(some)
-                out += [(h, key, doc_id, at, left, part) for h, at, left, part in contexts(_data(text), length)
-                        if some is None or h in some]
+                out += [(h, _kind(left, part), key, doc_id, at, left, part)
+                        for h, at, left, part in contexts(_data(text), length) if some is None or h in some]
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_CONTEXT_NAMES)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), _CONTEXT_TYPES)], names=_CONTEXT_NAMES)
     return run
 
 
@@ -137,7 +141,8 @@ def repeated_starts(group: list[int], left: list[int], parts: list[bytes], lengt
     The contexts are cut into blocks at content-defined places, so that any string of `length` bytes in two contexts has
     whole blocks in common. One suffix array over all blocks, with an own separator behind each context, shows for every
     block how many blocks from it on some other place repeats. Only strings within such a run and the bytes beside it
-    can be repeats; these are compared: equal strings of one anchor have equal places relative to it, and equal hashes.
+    can be repeats; these are compared: equal strings of one anchor have equal places relative to it, equal hashes, and
+    equal bytes.
     """
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -185,52 +190,61 @@ def repeated_starts(group: list[int], left: list[int], parts: list[bytes], lengt
     own_start = np.arange(len(data)) - begins[of]
     maybe = np.flatnonzero((np.cumsum(marks[:-1]) > 0) & (own_start + length <= sizes[of]))
 
-    key = strings.hashes(maybe, maybe + length)
-    key = mix64(key ^ (np.array(group, np.int64)[of[maybe]] * 4096 + np.array(left)[of[maybe]] - own_start[maybe]).astype(np.uint64))
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    again = maybe[counts[inverse] > 1]
+    beside = np.array(group, np.int64)[of[maybe]] * 4096 + np.array(left)[of[maybe]] - own_start[maybe]
+    again = maybe[_met_again(data, maybe, mix64(strings.hashes(maybe, maybe + length) ^ beside.astype(np.uint64)), beside, length)]
     return np.split(again - begins[of[again]], np.searchsorted(of[again], np.arange(1, len(parts))))
 
 
-def _runs(starts: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """Starts of repeats as byte ranges."""
-    if len(starts):
-        breaks = np.flatnonzero(np.diff(starts) > 1)
-        for lo, hi in zip(starts[np.append(0, breaks + 1)].tolist(), starts[np.append(breaks, len(starts) - 1)].tolist()):
-            yield lo, hi + length
+def _met_again(data: np.ndarray, starts: np.ndarray, hashes: np.ndarray, beside: np.ndarray, length: int) -> np.ndarray:
+    """Which strings (start, a number beside it) have an equal one. Hashes bring them together, bytes decide."""
+    out = np.zeros(len(starts), bool)
+    order = np.argsort(hashes, kind="stable")
+    pairs = np.flatnonzero(hashes[order[:-1]] == hashes[order[1:]])
+    for some in np.array_split(pairs, len(pairs) // 4096 + 1):
+        a, b = order[some], order[some + 1]
+        reach = np.arange(length)
+        if not ((data[starts[a, None] + reach] == data[starts[b, None] + reach]).all() and (beside[a] == beside[b]).all()):
+            break
+        out[a] = out[b] = True
+    else:
+        return out
+    # two different strings share a hash: all are told apart by their bytes
+    seen: dict[tuple, list[int]] = {}
+    for i, (start, more) in enumerate(zip(starts.tolist(), beside.tolist())):
+        seen.setdefault((more, data[start:start + length].tobytes()), []).append(i)
+    out[:] = False
+    out[[i for at in seen.values() if len(at) > 1 for i in at]] = True
+    return out
 
 
-_RANGE = "key long, doc_id long, lo long, hi long"
-_RANGE_TYPES = [("key", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]
+def _runs(starts: np.ndarray, length: int) -> list[dict[str, int]]:
+    """Starts of repeats as byte ranges."""
+    if not len(starts):
+        return []
+    breaks = np.flatnonzero(np.diff(starts) > 1)
+    return [{"lo": lo, "hi": hi + length} for lo, hi in zip(
+        starts[np.append(0, breaks + 1)].tolist(), starts[np.append(breaks, len(starts) - 1)].tolist())]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _RANGE_TYPES)], schema=pa.schema(_RANGE_TYPES))
+_FOUND = "anchor long, kind long, ranges array<struct<lo: long, hi: long>>"
+_FOUND_ARROW = pa.schema([("anchor", pa.int64()), ("kind", pa.int64()),
+                          ("ranges", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
 
 
-def resolve(rows: list[tuple], length: int) -> list[tuple[int, int, int, int]]:
-    """(key, doc_id, lo, hi) of the repeats in contexts of whole anchor groups.
+def resolve(rows: list[tuple], length: int) -> list[tuple[int, int, list]]:
+    """(anchor, kind, ranges) of the repeats in different contexts (anchor, kind, left, data, n) of whole anchor groups.
 
-    A context that is there twice is a repeat from end to end; the others are compared within their groups.
+    A context that is there several times is a repeat from end to end; the others are compared within their groups.
     """
-    distinct: dict[tuple, list[int]] = {}
-    for i, row in enumerate(rows):
-        distinct.setdefault((row[0], row[4], bytes(row[5])), []).append(i)
-    by_anchor: dict[int, list[tuple]] = {}
-    for kind in distinct:
-        by_anchor.setdefault(kind[0], []).append(kind)
-    out = []
-    for kind, at in distinct.items():
-        if len(at) > 1:
-            out += [(rows[i][1], rows[i][2], rows[i][3], rows[i][3] + len(kind[2])) for i in at]
-    mixed = [(n, kind) for n, kinds in enumerate(by_anchor.values()) if len(kinds) > 1 for kind in kinds]
-    if mixed:
-        found = repeated_starts([n for n, _ in mixed], [k[1] for _, k in mixed], [k[2] for _, k in mixed], length)
-        for (_, kind), starts in zip(mixed, found):
-            (at, *more) = distinct[kind]
-            if not more:
-                out += [(rows[at][1], rows[at][2], rows[at][3] + lo, rows[at][3] + hi) for lo, hi in _runs(starts, length)]
-    return out
+    numbers: dict[int, int] = {}
+    group = [numbers.setdefault(r[0], len(numbers)) for r in rows]
+    found = repeated_starts(group, [r[2] for r in rows], [r[3] for r in rows], length)
+    out = [(r[0], r[1], [{"lo": 0, "hi": len(r[3])}] if r[4] > 1 else _runs(starts, length)) for r, starts in zip(rows, found)]
+    return [r for r in out if r[2]]
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND_ARROW.types)], schema=_FOUND_ARROW)
 
 
 def _resolve(length: int):
@@ -241,40 +255,52 @@ def _resolve(length: int):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if size > _SLICE and row[0] != held[-1][0]:
                     if found := resolve(held, length):
-                        yield _batch(found)
+                        yield _found(found)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[3])
         if held and (found := resolve(held, length)):
-            yield _batch(found)
+            yield _found(found)
     return run
 
 
 def _every_string(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches, 1 << 16):
-            out = [(xxh3_128_digest(data[i:i + length]), key, doc_id, start + i)
-                   for _, key, doc_id, start, _, data in zip(*[c.to_pylist() for c in rows.columns])
+            out = [(xxh3_128_digest(data[i:i + length]), anchor, kind, i, n)
+                   for anchor, kind, _, data, n in zip(*[c.to_pylist() for c in rows.columns])
                    for i in range(len(data) - length + 1)]
             if out:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                                      names=["string", "key", "doc_id", "lo"])
+                                      names=["string", "anchor", "kind", "lo", "n"])
     return run
 
 
+def _string_by_string(contexts_: DataFrame, length: int) -> DataFrame:
+    """What `resolve` finds, for anchors with very many different contexts: their strings meet in a shuffle."""
+    every = written(contexts_.mapInArrow(_every_string(length), "string binary, anchor long, kind long, lo long, n long"),
+                    "substrings-strings")
+    again = every.groupBy("string").agg(F.sum("n").alias("n")).where("n > 1").select("string")
+    spans = F.struct("lo", (F.col("lo") + length).alias("hi"))
+    return every.join(again, "string", "left_semi").groupBy("anchor", "kind").agg(F.collect_list(spans).alias("ranges"))
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, most_contexts: int = MOST_CONTEXTS,
                     broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """`key`, `doc_id`, `lo`, `hi`: byte ranges of `docs` (`key`, `doc_id`, `text`) that are covered by repeats.
 
     Each string of `length` bytes belongs to the smallest 16-gram in it, so equal strings have equal anchors, at equal
-    places. Only strings whose anchor is there twice can be repeats; they travel together as contexts, an anchor's
-    strings as one piece of at most 2 * `length` bytes, and meet by anchor. A task reads whole anchor groups as a sorted
-    stream, about 2 MB at a time. Anchors of more than `most_contexts` occurrences are not gathered: their strings are
-    counted one by one by a 128-bit hash, combined before the shuffle.
+    places. An anchor's strings travel as one context of at most 2 * `length` bytes. Only anchors that are there twice
+    matter. Where all contexts of an anchor are equal, each is a repeat from end to end, and no bytes are sent. Of the
+    others each different context is sent once, with its number, so copies make no anchor large; a task reads whole
+    anchor groups as a sorted stream, about 2 MB at a time. What it finds goes back to all places of a context. Anchors
+    of more than `most_contexts` different contexts are not gathered: their strings meet one by one in a shuffle.
     """
-    anchors = docs.select("key", "text").mapInArrow(_anchors(length), "anchor long, key long")
-    repeated = written(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "substrings-anchors")
+    anchors = docs.select("key", "text").mapInArrow(_anchors(length), "anchor long, kind long, key long")
+    repeated = written(anchors.groupBy("anchor").agg(
+        F.count("*").alias("n"), F.min("kind").alias("least"), F.max("kind").alias("most")).where("n > 1").select(
+        "anchor", (F.col("least") == F.col("most")).alias("same")), "substrings-anchors")
     if repeated.count() <= broadcast_anchors:
         pieces = docs.select("key", "doc_id", "text").mapInArrow(_contexts(length, False), _CONTEXT).join(
             F.broadcast(repeated), "anchor")
@@ -282,15 +308,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, most_contexts: int =
         wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
         pieces = docs.join(wanted, "key").select("key", "doc_id", "text", "anchors").mapInArrow(
             _contexts(length, True), _CONTEXT).join(repeated, "anchor")
-    few = pieces.where(F.col("n") <= most_contexts).select(*_CONTEXT_NAMES)
-    ranges = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length), _RANGE)
-    if repeated.where(F.col("n") > most_contexts).isEmpty():
-        return ranges
-    every = written(pieces.where(F.col("n") > most_contexts).select(*_CONTEXT_NAMES).mapInArrow(
-        _every_string(length), "string binary, key long, doc_id long, lo long"), "substrings-strings")
-    again = every.groupBy("string").count().where("count > 1").select("string")
-    return ranges.unionByName(every.join(again, "string", "left_semi").select(
-        "key", "doc_id", "lo", (F.col("lo") + length).alias("hi")))
+    pieces = written(pieces.select("anchor", "kind", "same", "key", "doc_id", "start", "left", F.length("data").alias("size"),
+                                   F.when(~F.col("same"), F.col("data")).alias("data")), "substrings-contexts")
+    mixed = pieces.where("NOT same")
+    different = written(mixed.groupBy("anchor", "kind", "left", "data").agg(F.count("*").alias("n")), "substrings-different")
+    many = different.groupBy("anchor").count().where(F.col("count") > most_contexts).select("anchor")
+    found = different.join(many, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+        _resolve(length), _FOUND)
+    if not many.isEmpty():
+        found = found.unionByName(_string_by_string(different.join(many, "anchor", "left_semi"), length))
+    spans = mixed.select("anchor", "kind", "key", "doc_id", "start").join(found, ["anchor", "kind"]).select(
+        "key", "doc_id", "start", F.inline("ranges"))
+    return pieces.where("same").select("key", "doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")
+        ).unionByName(spans.select("key", "doc_id", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

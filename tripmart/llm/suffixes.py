@@ -6,8 +6,8 @@ from __future__ import annotations
 def suffix_array(text: list[int]) -> list[int]:
     """Starts of the suffixes of `text` in ascending order (a suffix that begins another one is the smaller).
 
-    Linear time. Suffixes are grouped by a prefix that grows until it is their longest Lyndon prefix. Groups are taken in
-    descending order; the prefix of the group in hand is final. For each of its suffixes the nearest earlier suffix that
+    Linear but for two comparison sorts: of the symbols, and of each group's members once. Suffixes are grouped by
+    a prefix that grows until it is their longest Lyndon prefix. Groups are taken in descending order; the prefix of the group in hand is final. For each of its suffixes the nearest earlier suffix that
     lies in a smaller group is found along pointers over larger ones; that one's prefix goes on with the group's prefix,
     once for each of the suffixes that point to it in a row. So its old group is split by that number, more repeats after
     fewer. What remains is the order within groups: a suffix is its Lyndon prefix and then the next smaller suffix, so

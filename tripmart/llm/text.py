@@ -45,7 +45,7 @@ def row_key(*columns: Column) -> Column:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by a table in the shared folder: computed once, and not again when an executor is lost."""
     path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
