@@ -18,7 +18,7 @@ from tripmart.llm.text import column, written
 #: A string of so many bytes that starts in two places is a repeat.
 LENGTH = 200
 #: Bytes of an anchor gram. Each string of LENGTH bytes belongs to the smallest gram in it.
-ANCHOR = 16
+ANCHOR = 32
 #: Bytes of the grams of which the smallest in each window cut a context into blocks.
 EDGE = 8
 #: Repeated anchors up to this number are broadcast (8 bytes each); more are joined by a shuffle.
@@ -290,7 +290,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, most_contexts: int =
                     broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """`key`, `doc_id`, `lo`, `hi`: byte ranges of `docs` (`key`, `doc_id`, `text`) that are covered by repeats.
 
-    Each string of `length` bytes belongs to the smallest 16-gram in it, so equal strings have equal anchors, at equal
+    Each string of `length` bytes belongs to the smallest 32-gram in it, so equal strings have equal anchors, at equal
     places. An anchor's strings travel as one context of at most 2 * `length` bytes. Only anchors that are there twice
     matter. Where all contexts of an anchor are equal, each is a repeat from end to end, and no bytes are sent. Of the
     others each different context is sent once, with its number, so copies make no anchor large; a task reads whole
@@ -313,9 +313,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, most_contexts: int =
     mixed = pieces.where("NOT same")
     different = written(mixed.groupBy("anchor", "kind", "left", "data").agg(F.count("*").alias("n")), "substrings-different")
     many = different.groupBy("anchor").count().where(F.col("count") > most_contexts).select("anchor")
-    found = different.join(many, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        _resolve(length), _FOUND)
-    if not many.isEmpty():
+    crowded = not many.isEmpty()
+    few = different.join(many, "anchor", "left_anti") if crowded else different
+    found = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_resolve(length), _FOUND)
+    if crowded:
         found = found.unionByName(_string_by_string(different.join(many, "anchor", "left_semi"), length))
     spans = mixed.select("anchor", "kind", "key", "doc_id", "start").join(found, ["anchor", "kind"]).select(
         "key", "doc_id", "start", F.inline("ranges"))
