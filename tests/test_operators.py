@@ -172,15 +172,35 @@ def test_asof_rejects_unknown_policy(spark):
         asof_join(df, df, "k", "at", [], before_first="latest")
 
 
-def test_chunks_keep_order_and_split_the_hot_key(spark):
-    rows = spark.createDataFrame([(0, i) for i in range(1000)] + [(1, i) for i in range(5)], "k int, t long")
-    hot = sizing.hot_key_bounds(rows, ["k"], "t", 100)
-    assert [r.k for r in hot.collect()] == [0]
-    got = sizing.with_chunk(rows, ["k"], "t", hot)
-    chunks = [r._chunk for r in got.where("k = 0").orderBy("t").collect()]
-    assert chunks == sorted(chunks) and len(set(chunks)) == 10 * sizing.OVERSPLIT
-    assert max(chunks.count(c) for c in set(chunks)) <= 100
-    assert {r._chunk for r in got.where("k = 1").collect()} == {0}
+@pytest.mark.parametrize("moment", [lambda i: i, lambda i: i if i else -10 ** 9, lambda i: f"{i:05d}", lambda i: f"x{i % 1000:05d}"],
+                         ids=["even", "burst", "text", "one prefix"])
+def test_chunks_keep_order_and_bound_the_hot_key(spark, moment):
+    rows = spark.createDataFrame([(0, moment(i)) for i in range(1000)] + [(1, moment(i)) for i in range(5)]
+                                 + [(None, moment(i)) for i in range(150)], ["k", "t"])
+    rest, hot = sizing.in_chunks(rows, ["k"], [F.col("t")], 100)
+    assert {(r.k, r._chunk) for r in rest.collect()} == {(1, 0)} and hot.count() == 1150
+    for key, n in (("k = 0", 1000), ("k IS NULL", 150)):
+        chunks = [r._chunk for r in hot.where(key).orderBy("t").collect()]
+        assert len(chunks) == n and chunks == sorted(chunks)
+        assert max(chunks.count(c) for c in set(chunks)) <= 100
+    assert sizing.in_chunks(rows, ["k"], [F.col("t")], 1000)[1] is None
+
+
+def test_history_and_asof_of_a_bursty_text_ordered_hot_key(spark):
+    """All but one change in the last moment, ordered by text: no chunk holds more than its share, results are exact."""
+    rnd = random.Random(11)
+    log = [(0, rnd.choice("AB"), i % 3, f"2026-01-31T23:59:{i:06d}" if i else "2001") for i in range(900)]
+    log += [(1, "A", 0, "2026"), (None, "B", 1, "2025")] + log[:300]
+    df = spark.createDataFrame(log, "k int, tracked string, other int, seq string")
+    small = history(df, "k", "seq", ["tracked"], ["tracked", "other"])
+    large = history(df, "k", "seq", ["tracked"], ["tracked", "other"], rows_per_chunk=40)
+    assert _versions(large) == _versions(small)
+    rows = spark.createDataFrame([(i, 0, f"2026-01-31T23:59:{rnd.randrange(950):06d}") for i in range(500)]
+                                 + [(i, 0, "2026-01-31T23:59:000500") for i in range(400)] + [(7, 1, "2027"), (8, 1, None)],
+                                 "id int, k int, at string")
+    want, got = (sorted(map(tuple, asof_join(rows, small, "k", "at", ["tracked", "other"], **o).collect()), key=str)
+                 for o in ({"broadcast_rows": 10 ** 6}, {"broadcast_rows": 0, "rows_per_chunk": 30}))
+    assert got == want and len(got) == 902
 
 
 def test_small_side_is_hinted_only_within_its_bound(spark):

@@ -4,8 +4,8 @@ Two plans, chosen by a checked size of the version table:
 
 * small, with few versions per key: broadcast, equi key plus validity range; the rows are not shuffled at all;
 * large: rows and versions are put in one ordered line per key and the last version seen is carried forward.
-  That is one shuffle and one sort and never pairs the rows of a key with the versions of a key. Hot keys are
-  cut into time chunks; each chunk starts with the version carried over from the chunks before it.
+  That is one shuffle and one sort and never pairs the rows of a key with the versions of a key. The lines of hot
+  keys are cut into ranges of about equal size; each starts with the version carried over from the ranges before it.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.types import DataType
 from tripmart.operators.history import END, START
 from tripmart.operators.latest import _as_list
 from tripmart.operators.sizing import (
-    BROADCAST_ROWS, ROWS_PER_CHUNK, hot_key_bounds, with_chunk,
+    BROADCAST_ROWS, ROWS_PER_CHUNK, in_chunks,
 )
 
 EARLIEST, NULL = "earliest", "null"
@@ -102,12 +102,13 @@ def _by_carrying(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at:
         earliest = versions.withColumn("_place", oldest).where("_place = 1")
         marks = marks.unionByName(line(earliest, F.lit(None), 0, no_row, version))
 
-    hot = hot_key_bounds(rows.withColumn(at, F.col(f"`{at}`").cast(kind)), keys, at, rows_per_chunk)
-    line_of_rows = with_chunk(line(rows, F.col(at), 2, row, no_version), keys, "_at", hot)
-    marks = with_chunk(marks, keys, "_at", hot)
+    # Of equal times versions come first, so rows of one time can be cut anywhere: a number of each row does that.
+    lines = line(rows, F.col(f"`{at}`"), 2, row, no_version).unionByName(marks).withColumn(
+        "_cut", F.when(F.col("_side") == 2, F.rand(3)))
+    order = [F.col("_at").asc_nulls_first(), F.col("_side"), F.col("_cut").asc_nulls_first()]
+    lines, hot = in_chunks(lines, keys, order, rows_per_chunk)
     if hot is not None:
-        # The last version before each chunk, for hot keys only: a few rows per chunk.
-        marks = marks.unionByName(_carried_over(rows, marks, hot, keys, at, version_type, no_row))
+        lines = lines.unionByName(hot).unionByName(_carried_over(hot, keys))
 
     window = (Window.partitionBy(*keys, "_chunk")
               .orderBy(F.col("_at").asc_nulls_first(), "_side")
@@ -116,35 +117,20 @@ def _by_carrying(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at:
     valid = F.col("_found").isNotNull() & F.col("_at").isNotNull() & (
         (F.col("_at") < F.col(f"_found.`{end}`").cast(kind)) | F.col(f"_found.`{end}`").isNull())
     return (
-        line_of_rows.unionByName(marks)
+        lines
         .withColumn("_found", found)
         .where("_side = 2")
         .select("_row.*", *[F.when(valid, F.col(f"_found.`{c}`")).alias(c) for c in columns])
     )
 
 
-def _carried_over(rows: DataFrame, marks: DataFrame, hot: DataFrame, keys: Sequence[str], at: str,
-                  version_type, no_row: Column) -> DataFrame:
-    on = list(keys)
-    chunks = (
-        with_chunk(rows.select(*keys, F.col(f"`{at}`").cast(marks.schema["_at"].dataType).alias("_at"))
-                   .join(hot.select(*keys), on, "left_semi"), keys, "_at", hot)
-        .select(*keys, "_chunk").distinct()
-        .select(*keys, "_chunk", F.lit(None).cast(version_type).alias("_last"))
-    )
-    newest = (
-        marks.join(hot.select(*keys), on, "left_semi")
-        .groupBy(*keys, "_chunk")
-        .agg(F.max(F.struct("_at", "_side", "_version")).alias("_m"))
-        .select(*keys, "_chunk", F.col("_m._version").alias("_last"))
-    )
-    before = (Window.partitionBy(*keys).orderBy("_chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        chunks.unionByName(newest)
-        .groupBy(*keys, "_chunk").agg(F.max("_last").alias("_last"))
-        .withColumn("_version", F.last("_last", ignorenulls=True).over(before))
-        .where(F.col("_version").isNotNull())
-        .select(*keys, F.lit(None).cast(marks.schema["_at"].dataType).alias("_at"),
-                F.lit(0).alias("_side"), no_row.alias("_row"), "_version", "_chunk")
-    )
+def _carried_over(hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last version before each chunk: a row per chunk of a hot key, at its beginning."""
+    version = F.when(F.col("_version").isNotNull(), F.struct("_at", "_side", "_version"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (hot.groupBy(*keys, "_chunk").agg(F.max(version).alias("_newest"))
+               .withColumn("_newest", F.last("_newest", ignorenulls=True).over(before))
+               .where(F.col("_newest").isNotNull()))
+    given = {"_at": F.lit(None), "_side": F.lit(0), "_row": F.lit(None), "_version": F.col("_newest._version"),
+             "_cut": F.lit(None)}
+    return carried.select(*[given.get(c, F.col(f"`{c}`")).cast(hot.schema[c].dataType).alias(c) for c in hot.columns])

@@ -4,8 +4,8 @@ A version begins where a tracked column differs from the row before; a change in
 replaces the values of the version it falls in. The result depends on the sequence column alone, never on
 the order of arrival.
 
-A key with very many rows is not sorted in one task: its log is cut into time chunks, each chunk is
-reduced to runs of equal tracked values by itself, and only the first and last run of a chunk (two rows)
+A key with very many rows is not sorted in one task: its log is cut into ranges of about equal size, each range
+is reduced to runs of equal tracked values by itself, and only the first and last run of a range (two rows)
 take part in the joining step per key.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tripmart.operators.latest import _as_list, latest, total_order
-from tripmart.operators.sizing import ROWS_PER_CHUNK, hot_key_bounds, small_side, with_chunk
+from tripmart.operators.sizing import ROWS_PER_CHUNK, in_chunks, small_side
 
 START, END = "__START_AT", "__END_AT"
 
@@ -32,20 +32,18 @@ def history(log: DataFrame, keys: str | Sequence[str], sequence: str, tracked: S
     Of several rows with the same key and sequence the last by `tiebreak` (default: all columns) counts.
     """
     keys = _as_list(keys)
-    hot = hot_key_bounds(log, keys, sequence, rows_per_chunk)
+    # Copies of one row may be the reason for a hot key; of ties each task keeps one before the shuffle.
+    one_each = lambda rows: latest(rows, [*keys, sequence], [], total_order(log, keys, [sequence], tiebreak))
+    rest, hot = in_chunks(log, keys, [F.col(sequence).asc_nulls_first()], rows_per_chunk, one_each)
+    along = F.col(sequence).asc_nulls_first()
+    whole = _runs(_drop_ties(rest, keys, sequence, tiebreak), Window.partitionBy(*keys).orderBy(along), sequence,
+                  tracked).select(*log.columns, START, END)
     if hot is None:
-        rows = _drop_ties(log, keys, sequence, tiebreak)
-        return _runs(rows, Window.partitionBy(*keys).orderBy(F.col(sequence).asc_nulls_first()),
-                     sequence, tracked).select(*log.columns, START, END)
-
-    # Copies of one row may be the reason for a hot key; this collapses them before they are shuffled.
-    unique = latest(log, [*keys, sequence], [], total_order(log, keys, [sequence], tiebreak))
-    chunked = with_chunk(unique, keys, sequence, hot)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(F.col(sequence).asc_nulls_first())
-    runs = _runs(chunked, inside, sequence, tracked)
+        return whole
+    runs = _runs(hot, Window.partitionBy(*keys, "_chunk").orderBy(along), sequence, tracked)
     middle = runs.where(~F.col("_first") & ~F.col("_last")).select(*log.columns, START, END)
     edges = runs.where(F.col("_first") | F.col("_last"))
-    return middle.unionByName(_join_edges(edges, keys, tracked).select(*log.columns, START, END))
+    return whole.unionByName(middle).unionByName(_join_edges(edges, keys, tracked).select(*log.columns, START, END))
 
 
 def _drop_ties(log: DataFrame, keys: Sequence[str], sequence: str,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +14,11 @@ from tripmart.session import work_dir
 # A dimension above this is joined by shuffle, where AQE splits skewed partitions.
 BROADCAST_ROWS = 200_000
 
-# A key with more rows than this is split into time chunks before it is sorted.
+# A key with more rows than this is cut into ranges of its order before it is sorted.
 ROWS_PER_CHUNK = 2_000_000
 
-# Chunks per ROWS_PER_CHUNK rows, since rows are not spread evenly over time.
-OVERSPLIT = 16
+# Ranges per ROWS_PER_CHUNK rows: their borders come from a sample, so they are not of one size.
+OVERSPLIT = 2
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -37,50 +39,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ordinal(col: Column, data_type: str) -> Column:
-    """A double that grows with `col`; only used to cut a key's rows into ordered chunks."""
-    if data_type.startswith("timestamp"):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    if data_type == "date":
-        return F.unix_date(col).cast("double")
-    return col.try_cast("double")
+def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_chunk: int = ROWS_PER_CHUNK,
+              collapse: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of keys with at most `rows_per_chunk` rows (`_chunk` 0), and those of hot keys in chunks (None: no hot key).
 
-
-def hot_key_bounds(df: DataFrame, keys: Sequence[str], order: str,
-                   rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame | None:
-    """Per key with more than `rows_per_chunk` rows: its order range and chunk count; None if no such key.
-
-    One hash aggregate over two columns with map-side combine, so a hot key costs nothing extra. At most
-    rows/rows_per_chunk keys can qualify; `small_side` still checks that before a broadcast.
-    """
-    number = ordinal(F.col(order), dict(df.dtypes)[order])
-    hot = settled(
-        df.select(*keys, number.alias("_o"))
-        .groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_o").alias("_low"), F.max("_o").alias("_high"))
-        .where(F.col("_n") > rows_per_chunk)
-        .select(*keys, "_low", "_high",
-                F.ceil(F.col("_n") * OVERSPLIT / rows_per_chunk).alias("_chunks"))
-    )
-    return None if hot.isEmpty() else small_side(hot)
-
-
-def with_chunk(df: DataFrame, keys: Sequence[str], order: str, hot: DataFrame | None) -> DataFrame:
-    """Add `_chunk`, which never decreases along `order` within a key; 0 for keys that are not hot.
-
-    Rows with a null order value belong to the first chunk. Equal order values share a chunk.
+    `_chunk` never decreases along `order` within a key. Hot rows are dealt by ranges of key and order whose borders come
+    from a sample of these rows, so bursts and any orderable type are cut evenly; rows that are equal in `order` share a
+    chunk. `collapse` may reduce such ties before. The dealt rows are written once, so the chunks stay as they are. Hot
+    keys are found by one hash aggregate over the keys; there are at most rows / `rows_per_chunk` of them.
     """
-    if hot is None:
-        return df.withColumn("_chunk", F.lit(0))
-    number = ordinal(F.col(order), dict(df.dtypes)[order])
-    width = F.col("_high") - F.col("_low")
-    place = F.floor((number - F.col("_low")) / width * F.col("_chunks"))
-    inside = F.greatest(F.lit(0), F.least(place, F.col("_chunks") - 1)).cast("int")
-    chunk = F.coalesce(F.when(number.isNotNull() & (width > 0), inside), F.lit(0))
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return (
-        df.alias("d").join(hot.alias("h"), cond, "left")
-        .select(*[F.col(f"d.`{c}`") for c in df.columns], chunk.alias("_chunk"))
-    )
+    hot = settled(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_chunk))
+    total = hot.agg(F.sum("_n")).first()[0]
+    if total is None:
+        return df.withColumn("_chunk", F.lit(0)), None
+    names = small_side(hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]))
+    same = reduce(and_, [df[k].eqNullSafe(names[f"_k{i}"]) for i, k in enumerate(keys)])
+    ranges = -(-total * OVERSPLIT // rows_per_chunk)
+    dealt = collapse(df.join(names, same, "left_semi")).repartitionByRange(ranges, *keys, *order)
+    return (df.join(names, same, "left_anti").withColumn("_chunk", F.lit(0)),
+            settled(dealt.withColumn("_chunk", F.spark_partition_id() + 1)))
