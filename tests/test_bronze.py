@@ -275,3 +275,33 @@ def test_headers_take_one_job(spark, lake):
         sc._jsc.clearJobGroup()
         return len(sc.statusTracker().getJobIdsForGroup(f"headers{n}"))
     assert jobs(3) == jobs(20)
+
+
+def test_csv_headers_over_several_lines(spark, lake):
+    """Two files whose headers begin alike: each value goes under its own file's column."""
+    lines = '"ride_id","booker\nid","total_fare"\n"R1","a ""b""\nc","10.5"\n'
+    (lake / "landing/a.csv").write_text(lines)
+    (lake / "landing/b.csv").write_text(lines.replace("booker\nid", "booker\n\n2").replace("R1", "R2"))
+    (lake / "landing/c.csv").write_text("\nride_id,total_fare\nR3,2\n")
+    paths = [str(lake / f"landing/{n}.csv") for n in "abc"]
+    for multi_line in (True, False):
+        got = {r.ride_id: r for r in files.read_csv(spark, paths, multi_line=multi_line).collect()}
+        assert {k: float(r.total_fare) for k, r in got.items()} == {"R1": 10.5, "R2": 10.5, "R3": 2.0}
+        assert got["R1"]._extra == {"booker\nid": 'a "b"\nc'} and got["R2"]._extra == {"booker\n2": 'a "b"\nc'}
+        assert got["R3"]._extra is None
+
+
+def test_csv_with_repeated_and_missing_names(spark, lake):
+    (lake / "landing/a.csv").write_text("ride_id,x,X,\nR1,1,2,3\n")
+    (row,) = files.read_csv(spark, [str(lake / "landing/a.csv")]).collect()
+    assert row.ride_id == "R1" and row._extra == {"x1": "1", "X2": "2", "_c3": "3"}
+
+
+def test_csv_under_names_of_patterns_with_long_fields(spark, lake):
+    """The multi-line reader takes such names as they are; a field of 1 MB goes through."""
+    long = 'x "y"\n' * 170_000
+    for name in ("a{1}.csv", "b[c]*.csv", "plain.csv"):
+        write_csv(lake / "landing" / name, [ride("R1") | {"note": long}], [*RIDE.fieldNames(), "note"])
+    paths = [r.file_path for r in files.list_files(spark, str(lake / "landing")).collect()]
+    got = files.read_csv(spark, paths, multi_line=True).collect()
+    assert len(got) == 3 and {r._extra["note"] for r in got} == {long} and len({r._source_path for r in got}) == 3

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Sequence
 from datetime import date
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,8 @@ HISTORICAL_NAME = r"^historical_(\d{8})_(\d{8})\.(csv|json)$"
 
 FILE_COLUMNS = ["file_path", "file_name", "file_size", "modified_at"]
 SOURCE_PATH = "_source_path"
+#: Lines that a CSV header may span.
+HEADER_LINES = 100
 EXTRA = "_extra"
 
 
@@ -111,13 +114,15 @@ def read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType = R
              multi_line: bool = False) -> DataFrame:
     """CSV rows by header name, typed tolerantly (a value that does not fit becomes null).
 
-    Spark applies the first header to all files of one read, so files are grouped by header and each group is
-    read once. A column of `schema` that a file lacks is null; columns outside `schema` are kept in the map `_extra`.
+    Files are grouped by header and each group is read once, with the header's names as its schema, so no row is read to
+    infer one. A header may span lines within quotes; such files are read by the multi-line reader. A column
+    of `schema` that a file lacks is null; columns outside `schema` are kept in the map `_extra`.
     """
-    groups: dict[str, list[str]] = {}
+    groups: dict[tuple[bool, tuple[str, ...]], list[str]] = {}
     for path, header in sorted(_headers(spark, paths).items()):
-        groups.setdefault(header, []).append(readable(path))
-    parts = [_read_csv_group(spark, members, schema, multi_line) for members in groups.values()]
+        key = multi_line or "\n" in header, tuple(next(csv.reader(io.StringIO(header, newline=""))))
+        groups.setdefault(key, []).append(readable(path))
+    parts = [_read_csv_group(spark, members, names, schema, lines) for (lines, names), members in groups.items()]
     if not parts:
         empty = T.StructType([*schema.fields, T.StructField(EXTRA, T.MapType(T.StringType(), T.StringType())),
                               T.StructField(SOURCE_PATH, T.StringType())])
@@ -125,33 +130,17 @@ def read_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType = R
     return union_feeds(*parts)
 
 
-def _read_csv_group(spark: SparkSession, paths: list[str], schema: T.StructType, multi_line: bool) -> DataFrame:
-    plain = [p for p in paths if not (multi_line and "\\" in p)]
-    odd = [p for p in paths if multi_line and "\\" in p]
-    df = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-          .option("multiLine", multi_line).csv(plain)) if plain else None
-    if odd:
-        whole = _csv_records(spark, odd)
-        df = whole if df is None else df.select("*", F.col("_metadata.file_path").alias(SOURCE_PATH)).unionByName(whole)
-        return _with_extra(df, schema, F.col(SOURCE_PATH))
+def _read_csv_group(spark: SparkSession, paths: list[str], names: tuple[str, ...], schema: T.StructType,
+                    multi_line: bool) -> DataFrame:
+    """Files with one header. A name that is missing or there twice gets its place in the line."""
+    low = [n.lower() for n in names]
+    own = [n if n and low.count(n.lower()) == 1 else f"{n or '_c'}{i}" for i, n in enumerate(names)]
+    text = T.StructType([T.StructField(n, T.StringType()) for n in own])
+    df = (spark.read.schema(text).option("header", True).option("quote", '"').option("escape", '"')
+          .option("multiLine", multi_line).csv(paths))
     return _with_extra(df, schema, F.col("_metadata.file_path"))
 
 
-def _csv_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV of files with one header, as text columns, for names that the multi-line reader takes for patterns.
-
-    Such a file is read whole; records end at line breaks outside of quotes.
-    """
-    text = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias(SOURCE_PATH))
-    records = F.regexp_extract_all("value", F.lit(r'((?:[^"\r\n]|"(?:[^"]|"")*")+)'))
-    header = text.select(F.element_at(records, 1)).first()[0]
-    names = next(csv.reader([header]))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return text.select(F.explode(F.slice(records, 2, F.size(records))).alias("record"), SOURCE_PATH).select(
-        F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), {"quote": '"', "escape": '"'}).alias("r"), SOURCE_PATH
-    ).select("r.*", SOURCE_PATH)
-
-
 def _with_extra(df: DataFrame, schema: T.StructType, path: Column) -> DataFrame:
     known = {n.lower() for n in schema.fieldNames()}
     more = [c for c in df.columns if c.lower() not in known and c != SOURCE_PATH]
@@ -159,12 +148,21 @@ def _with_extra(df: DataFrame, schema: T.StructType, path: Column) -> DataFrame:
 
 
 def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
-    """First line of each file that has one: one job for all files, one line per file to the driver."""
+    """The header of each file that has one: its first line that is not blank, and the next ones while a quote is open.
+
+    One job for all files. A task keeps at most HEADER_LINES lines of a file, the driver gets the header alone.
+    """
     lines = spark.read.text([readable(p) for p in paths]).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
-        F.monotonically_increasing_id().alias("line")).where("start = 0")
-    firsts = lines.groupBy("path").agg(F.min_by("value", "line").alias("header"))
-    return {r["path"]: r["header"] for r in firsts.collect()}
+        F.monotonically_increasing_id().alias("line")).where("start = 0 AND trim(value) <> ''")
+    along = Window.partitionBy("path").orderBy("line")
+    first = lines.withColumn("at", F.row_number().over(along)).where(F.col("at") <= HEADER_LINES)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    within = first.withColumn("open", F.sum(quotes).over(along) % 2).withColumn(
+        "goes_on", F.coalesce(F.min("open").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1)))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
+    headers = within.where("goes_on = 1").groupBy("path").agg(F.array_join(parts, "\n").alias("header"))
+    return {r["path"]: r["header"] for r in headers.collect()}
 
 
 def count_per_file(df: DataFrame, path: str | Column = SOURCE_PATH) -> DataFrame:
