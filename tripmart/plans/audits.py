@@ -234,3 +234,21 @@ def integrity(fact: DataFrame, references: Iterable[tuple[str, DataFrame, str]],
     for part in parts:
         out = out.unionByName(part)
     return out
+
+
+def share_fit(fact: DataFrame) -> DataFrame:
+    """Per month: how far completed rides, rides within a province and tips are from their expected shares.
+
+    `chi_square` has `degrees` of freedom; it comes from two counts per month and share, so months can be added up.
+    """
+    done = F.col("ride_status_id") == 1
+    tests = {"completed": done, "same_province": F.col("pickup_city_id") == F.col("dropoff_city_id"),
+             "tipped": F.when(done, F.col("tip_amount") > 0)}
+    hits = [F.struct(F.lit(name).alias("share"), F.lit(rules.EXPECTED_SHARES[name]).alias("expected_share"), F.count(hit).alias("n"),
+                     F.count_if(hit).alias("hits")) for name, hit in tests.items()]
+    counted = fact.groupBy(F.trunc("booking_date", "month").alias("month")).agg(F.array(*hits).alias("_tests"))
+    off = F.pow(F.col("hits") - F.col("n") * F.col("expected_share"), F.lit(2.0))
+    return counted.select("month", F.inline("_tests")).where("n > 0").select(
+        "month", "share", "n", "hits", "expected_share",
+        (off / (F.col("n") * F.col("expected_share")) + off / (F.col("n") * (1 - F.col("expected_share")))).alias("chi_square"),
+        F.lit(1).alias("degrees"))

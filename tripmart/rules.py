@@ -53,3 +53,6 @@ LAND_ADDRESS_KEYS = [
     "amenity", "aeroway", "club", "craft", "leisure", "office", "mountain_pass", "shop", "tourism",
     "bridge", "tunnel", "waterway", "postcode",
 ]
+
+# Shares that rides are expected to have.
+EXPECTED_SHARES = {"completed": 0.80, "same_province": 0.70, "tipped": 0.20}
