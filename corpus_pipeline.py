@@ -16,7 +16,7 @@ NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages; texts without letters or of no clear language go."""
+    """Documents in one of the labelled languages; texts without letters, of no clear one, or of another language go."""
     return langid.keep_known(docs, langid.train(docs, langid.read_pieces()))
 
 

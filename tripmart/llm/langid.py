@@ -19,6 +19,9 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The bounded sample a language is learned from: documents, none longer than so many characters.
 SAMPLE_DOCS, SAMPLE_CHARS = 1_500, 20_000
 ROUNDS = 3
+#: A text is in no learned language if its log probability per letter is so many spreads below the mean of the words that
+#: its language was learned from; few words stray further, by STRAY over the root of their number.
+SPREADS, STRAY = 3.0, 3.0
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]{1,32}")
@@ -136,6 +139,8 @@ class Model:
     prior: np.ndarray
     pieces: list[str]
     p: np.ndarray
+    #: Mean and spread of the log probability of a letter, by language; None: no text is judged by it.
+    usual: np.ndarray | None = None
     _index: dict | None = field(default=None, repr=False)
 
     def likelihood(self, words: list[str]) -> np.ndarray:
@@ -143,6 +148,13 @@ class Model:
             self._index = piece_index(self.pieces)
         return Lattice(words, self._index, len(self.pieces)).likelihood(self.p)
 
+    def is_usual(self, lang: int, per_letter: float, n_words: int) -> bool:
+        """Whether a text with this mean log probability per letter can be in a learned language."""
+        if self.usual is None:
+            return True
+        mean, spread = self.usual[:, lang]
+        return bool(per_letter >= mean - spread * (SPREADS + STRAY / np.sqrt(n_words)))
+
 
 def fit_pieces(words: list[str], counts: np.ndarray, pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities per language by expectation maximisation; `counts` has a row per word, a column per language.
@@ -197,43 +209,58 @@ def train(docs: DataFrame, pieces: list[str], sample_docs: int = SAMPLE_DOCS, sa
             return
         rows = pd.concat(frames)
         p = fit_pieces(list(rows["word"]), rows.iloc[:, 1:].fillna(0.0).to_numpy(float), pieces, rounds)
-        yield pd.DataFrame({"piece": np.repeat(np.arange(len(p)), len(langs)), "lang": np.tile(np.arange(len(langs)), len(p)),
-                            "p": p.reshape(-1)})
+        counts = rows.iloc[:, 1:].fillna(0.0).to_numpy(float)
+        out = np.concatenate([p, usual_letters(list(rows["word"]), counts, Model(langs, np.zeros(len(langs)), pieces, p))])
+        yield pd.DataFrame({"piece": np.repeat(np.arange(len(out)), len(langs)), "lang": np.tile(np.arange(len(langs)), len(out)),
+                            "p": out.reshape(-1)})
 
     fitted = written(counted.coalesce(1).mapInPandas(fit, "piece int, lang int, p double"), "langid-model").toPandas()
-    p = np.full((len(pieces) + 2, len(langs)), _RARE)
-    p[-2] = 0.0
+    p = np.full((len(pieces) + 4, len(langs)), _RARE)
+    p[-4] = 0.0
     p[fitted["piece"], fitted["lang"]] = fitted["p"]
     total = sum(priors.values())
-    return Model(langs, np.log([priors[x] / total for x in langs]), pieces, p)
+    return Model(langs, np.log([priors[x] / total for x in langs]), pieces, p[:-2], p[-2:] if len(fitted) else None)
+
+
+def usual_letters(words: list[str], counts: np.ndarray, model: Model) -> np.ndarray:
+    """Mean and spread per language of a word's log probability per letter (a word's start counts as one)."""
+    sizes, found = np.array([len(w) + 1.0 for w in words]), model.likelihood(words)
+    mean = (counts * found).sum(axis=0) / np.maximum(counts.T @ sizes, 1.0)
+    apart = (found / sizes[:, None] - mean) ** 2
+    return np.stack([mean, np.sqrt((counts * apart).sum(axis=0) / np.maximum(counts.sum(axis=0), 1.0))])
 
 
 def _predict(model: Model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        table = np.empty((0, len(model.langs)))
+        table, sizes = np.empty((0, len(model.langs))), np.empty(0)
         for rows in rows_of(batches):
             texts = [letters(t.as_py()) for t in rows.column(at)]
             texts = [t if any(c.isalpha() for w in t for c in w) else [] for t in texts]
             if len(known) > _CACHED_WORDS:
-                known, table = {}, np.empty((0, len(model.langs)))
+                known, table, sizes = {}, np.empty((0, len(model.langs))), np.empty(0)
             fresh = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in known]
             if fresh and model.langs:
                 known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
                 table = np.concatenate([table, model.likelihood(fresh)])
-            langs, scores = [], []
+                sizes = np.concatenate([sizes, [len(w) + 1.0 for w in fresh]])
+            langs, scores, usual = [], [], []
             for t in texts:
                 if not t or not model.langs:
                     langs.append(UNKNOWN)
                     scores.append(0.0)
+                    usual.append(False)
                     continue
-                total = model.prior + table[np.fromiter(map(known.__getitem__, t), np.int64, len(t))].sum(axis=0)
+                at_word = np.fromiter(map(known.__getitem__, t), np.int64, len(t))
+                found = table[at_word].sum(axis=0)
+                total = model.prior + found
                 best = int(total.argmax())
+                usual.append(model.is_usual(best, found[best] / sizes[at_word].sum(), len(t)))
                 langs.append(model.langs[best])
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             yield pa.record_batch([*[c for i, c in enumerate(rows.columns) if i != at], pa.array(langs, pa.string()),
-                                   pa.array(scores, pa.float64())],
-                                  names=[*[n for i, n in enumerate(rows.schema.names) if i != at], "lang_pred", "score"])
+                                   pa.array(scores, pa.float64()), pa.array(usual, pa.bool_())],
+                                  names=[*[n for i, n in enumerate(rows.schema.names) if i != at], "lang_pred", "score", "usual"])
     return run
 
 
@@ -245,7 +272,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     """
     cols = [*[column(docs, c).alias(f"k{i}") for i, c in enumerate(keep)], column(docs, "text").alias("text")]
     rows = docs.select(*cols)
-    schema = ", ".join([*[f"{n} {t}" for n, t in rows.dtypes[:-1]], "lang_pred string", "score double"])
+    schema = ", ".join([*[f"{n} {t}" for n, t in rows.dtypes[:-1]], "lang_pred string", "score double", "usual boolean"])
     out = rows.mapInArrow(_predict(model, len(keep)), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
@@ -255,10 +282,14 @@ def rejected(lang_pred: Column, score: Column, least: float) -> Column:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents whose language is told with a posterior of `least`, columns as they are."""
+    """The documents in one of the learned languages, columns as they are.
+
+    The language must be told with a posterior of `least`. A posterior compares the learned languages alone, so the whole
+    text must also be about as probable, letter by letter, as the texts its language was learned from (`Model.is_usual`).
+    """
     # by number: names may hold dots
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).select("*", F.col(names[docs.columns.index("text")]).alias("text"))
-    schema = ", ".join([*[f"{n} {t}" for n, t in plain.dtypes[:-1]], "lang_pred string, score double"])
+    schema = ", ".join([*[f"{n} {t}" for n, t in plain.dtypes[:-1]], "lang_pred string, score double, usual boolean"])
     out = plain.mapInArrow(_predict(model, len(names)), schema)
-    return out.where(~rejected(F.col("lang_pred"), F.col("score"), least)).select(*names).toDF(*docs.columns)
+    return out.where(~rejected(F.col("lang_pred"), F.col("score"), least) & F.col("usual")).select(*names).toDF(*docs.columns)
