@@ -414,3 +414,25 @@ def test_damaged_archives():
     text = warc.record(1, "u", b"payload", None, "2000-01-01T00:00:00Z").replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n")
     (bad,) = warc.read_records(io.BytesIO(warc._member(text)))
     assert bad["problem"] == "payload digest"
+
+
+def test_reading_goes_on_behind_damaged_records():
+    """Of five members the second has a wrong length, is torn, or is no record: the others come back."""
+    whole = [warc.record(i, "http://a/", b"x" * 3000 + bytes([65 + i]) * 50, None, "2000-01-01T00:00:00Z") for i in range(5)]
+    members = [warc._member(r) for r in whole]
+    noise = bytes((i * 37 + 11) % 256 for i in range(400))
+    for damaged in (warc._member(whole[1].replace(b"Content-Length: 3", b"Content-Length: 2")), warc._member(b"nothing\r\n\r\n"),
+                    members[1][:30] + b"\xff\x00\x1f\x8b\x08" * 9 + members[1][60:], members[1][:len(members[1]) // 2], noise,
+                    warc._MAGIC + noise):
+        found = list(warc.read_records(io.BytesIO(b"".join([members[0], damaged, *members[2:]])), True))
+        good = [r["page_id"] for r in found if r["problem"] is None]
+        assert good == [0, 2, 3, 4] and 1 <= len(found) - len(good) <= 2, damaged[:40]
+        assert all(r["payload"] is not None for r in found if r["problem"] is None)
+
+
+def test_a_payload_of_very_many_pages(spark):
+    rows = [(i if i % 3 else None, f"u{i}", "same") for i in range(60)] + [(7, "u7", "same"), (99, "z", "other")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    back = warc.round_trip(pages).collect()
+    assert len(back) == len(rows) and {r.problem for r in back} == {None}
+    assert Counter((r.record_type, r.refers_to) for r in back) == {("response", None): 2, ("revisit", 59): 60}

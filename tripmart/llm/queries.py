@@ -176,11 +176,11 @@ SELECT page_id, payload_bytes,
   (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> (15 - 5 * j)) & 31 AS INTEGER) + 1, 1), '' ORDER BY g, j)
    FROM (SELECT g, CAST('0x' || substr(h, CAST(5 * g + 1 AS INTEGER), 5) AS BIGINT) AS v FROM unnest(range(8)) AS a(g)), unnest(range(4)) AS b(j)) AS payload_digest,
   CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to, CAST(NULL AS VARCHAR) AS problem
 FROM p LEFT JOIN k USING (h)""")
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
 @query()

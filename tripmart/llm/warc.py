@@ -22,7 +22,8 @@ from tripmart.session import work_dir
 #: A task begins a new archive when one has reached so many compressed bytes.
 ARCHIVE_BYTES = 1 << 28
 _CHUNK = 1 << 18
-# Fixed value: how the format names a repeat of an identical payload.
+# How a gzip member begins, and how the format names a repeat of an identical payload.
+_MAGIC = b"\x1f\x8b\x08"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE = "urn:x-page:"
 
@@ -36,16 +37,20 @@ def record_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of equal payloads of at least `least_bytes`, the page with the largest id keeps it; rows that repeat that id keep
     it too. Null ids are below all others; if no page of a payload has an id, none is a repeat. Only digests are
-    grouped, so a payload that very many pages share is one row per task.
+    grouped and joined by payload; pages with their html are dealt by page, url and digest, so a payload that very many
+    pages share does not bring them together.
     """
     here = pages.select(column(pages, "page_id").cast("long").alias("page_id"), column(pages, "url").cast("string").alias("url"),
                         F.coalesce(column(pages, "html"), F.lit("")).alias("html"))
     here = here.withColumn("_digest", F.unhex(F.sha1("html")))
-    keepers = here.where(F.octet_length("html") >= least_bytes).groupBy(F.col("_digest").alias("_of")).agg(
+    row = ["page_id", "url", "_digest"]
+    slim = written(here.select(*row, F.octet_length("html").alias("_size")), "warc-digests")
+    keepers = slim.where(F.col("_size") >= least_bytes).groupBy(F.col("_digest").alias("_of")).agg(
         F.max("page_id").alias("_keeper"), F.count("*").alias("_n")).where("_n > 1").select("_of", "_keeper")
-    repeats = F.when(~F.col("page_id").eqNullSafe(F.col("_keeper")), F.col("_keeper"))
-    return here.join(keepers, F.col("_digest") == F.col("_of"), "left").select(
-        "page_id", "url", "html", repeats.alias("refers_to"))
+    repeats = slim.join(keepers, F.col("_digest") == F.col("_of")).where(~F.col("page_id").eqNullSafe(F.col("_keeper"))).select(
+        *[F.col(c).alias(f"_r{c}") for c in row], F.col("_keeper").alias("refers_to")).distinct()
+    same = F.expr(" AND ".join(f"{c} <=> _r{c}" for c in row))
+    return here.join(repeats, same, "left").select("page_id", "url", "html", "refers_to")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
@@ -113,12 +118,12 @@ class _Members:
 
     def __init__(self, raw: BinaryIO):
         self.raw, self.rest, self.buffer = raw, b"", bytearray()
-        self.packed = None
+        self.packed, self.chunk, self.broken = None, b"", False
 
     def next(self) -> bool:
         """Go to the next member; False at the end of the archive."""
         self.rest = self.rest or self.raw.read(_CHUNK)
-        self.packed, self.buffer = zlib.decompressobj(31), bytearray()
+        self.packed, self.buffer, self.broken = zlib.decompressobj(31), bytearray(), False
         return bool(self.rest)
 
     def _fill(self) -> bool:
@@ -127,12 +132,39 @@ class _Members:
         data = self.packed.unconsumed_tail or self.rest or self.raw.read(_CHUNK)
         if not data:
             raise EOFError("the archive ends within a record")
-        self.rest = b""
-        self.buffer += self.packed.decompress(data, _CHUNK)
+        self.rest, self.chunk = b"", data
+        try:
+            self.buffer += self.packed.decompress(data, _CHUNK)
+        except zlib.error:
+            self.broken = True
+            raise
         if self.packed.eof:
             self.rest = self.packed.unused_data
         return True
 
+    def skip(self) -> None:
+        """Leave a damaged member. A whole one is read to its end; behind a torn one the next start is looked for."""
+        try:
+            while not self.broken and self._fill():
+                self.buffer.clear()
+        except zlib.error:
+            pass
+        except EOFError:
+            return
+        if not self.broken:
+            return
+        data = self.chunk[1:]
+        while True:
+            at = data.find(_MAGIC)
+            if at >= 0:
+                self.rest = data[at:]
+                return
+            more = self.raw.read(_CHUNK)
+            if not more:
+                self.rest = b""
+                return
+            data = data[-2:] + more
+
     def head(self) -> bytes:
         while (at := self.buffer.find(b"\r\n\r\n")) < 0:
             if len(self.buffer) > 1 << 20 or not self._fill():
@@ -171,13 +203,17 @@ def _page(value: str | None) -> int | None:
 def read_records(raw: BinaryIO, payloads: bool = False) -> Iterator[dict]:
     """The records of an archive in order; `problem` says what is wrong with one, else null.
 
-    Holds one chunk, or one payload where they are asked for. After a damaged record the rest of the archive is left.
+    Holds one chunk, or one payload where they are asked for. After a damaged record it goes on with the next gzip member;
+    damaged bytes that hold no record's head are one problem, however many starts of members they seem to hold.
     """
-    members = _Members(raw)
+    members, lost = _Members(raw), False
     while members.next():
         out: dict = {"problem": None}
         try:
             head = members.head()
+            if not head.startswith(b"WARC/"):
+                raise ValueError("no record begins here")
+            lost = False
             named = _fields(head)
             out |= {"page_id": _page(named.get("warc-record-id")), "url": named.get("warc-target-uri"),
                     "record_type": named.get("warc-type"), "refers_to": _page(named.get("warc-refers-to")),
@@ -207,8 +243,12 @@ def read_records(raw: BinaryIO, payloads: bool = False) -> Iterator[dict]:
                 out["payload"] = b"".join(kept) if payloads else None
             yield out
         except (EOFError, ValueError, KeyError, zlib.error) as e:
-            yield out | {"problem": f"{type(e).__name__}: {e}"}
-            return
+            if not lost:
+                yield out | {"problem": f"{type(e).__name__}: {e}"}
+            lost = True
+            if isinstance(e, EOFError) and not members.packed.eof:
+                return
+            members.skip()
 
 
 _READ = ("path string, page_id long, url string, record_type string, refers_to long, payload_bytes long, "
@@ -246,6 +286,6 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = False) -> D
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """The pages as read back from archives written to the shared folder."""
+    """The pages as read back from archives written to the shared folder; `problem` tells what is wrong with a record."""
     folder = work_dir(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, least_bytes=least_bytes), folder)
