@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripmart.functions.columns import calendar, fingerprint_joined, pseudonym, typed
+from tripmart.functions.columns import active, calendar, fingerprint, fingerprint_joined, pseudonym, typed
 from tripmart.operators.changes import deleted_keys, detect_changes, latest_snapshot, not_loaded
 from tripmart.operators.joins import union_feeds
 from tripmart.plans import bronze, silver
@@ -76,10 +76,18 @@ def derive_date_hour(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *calendar("ts"))
 
 
-@query("SELECT p_partkey, sha256(concat_ws('|', p_brand, p_name, p_size, p_type)) AS content_hash FROM part")
+_JSON = "'{' || " + " || ',' || ".join(
+    f"""'"{c}":' || coalesce({f"to_json({c})" if c in ("p_brand", "p_name", "p_type") else f"CAST({c} AS VARCHAR)"}, 'null')"""
+    for c in ("p_brand", "p_name", "p_retailprice", "p_size", "p_type")) + " || '}'"
+
+
+@query(f"""SELECT p_partkey, sha256({_JSON}) AS fingerprint,
+    sha256(concat_ws('|', p_brand, p_name, p_retailprice, p_size, p_type)) AS content_hash FROM part""")
 def content_fingerprint(spark, sf_dir):
-    part = table(spark, sf_dir, "part").drop("p_retailprice")
-    return part.select("p_partkey", fingerprint_joined(part, ["p_partkey"]).alias("content_hash"))
+    """Parts by all their columns, in both forms."""
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", fingerprint(part, ["p_partkey"]).alias("fingerprint"),
+                       fingerprint_joined(part, ["p_partkey"]).alias("content_hash"))
 
 
 @query("""WITH existing AS (
@@ -235,3 +243,22 @@ def union_feeds_to_silver(spark, sf_dir):
     raw = rides(spark, sf_dir)
     live, _ = silver.from_messages(messages.to_messages(raw.where("ride_status_id = 1")))
     return silver.unite(live, raw.where("ride_status_id = 2"))
+
+
+@query("""SELECT 'R' || s_suppkey AS reason_key, s_suppkey AS supplier_id, s_name AS supplier_name, CAST(s_nationkey AS VARCHAR) AS region
+    FROM supplier WHERE s_nationkey % 5 <> 0 OR s_nationkey IS NULL""")
+def reference_files(spark, sf_dir):
+    """Suppliers as reference files (JSON arrays, a column undeclared), read with declared types; only active rows."""
+    at = work_dir(spark, "reference_files")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("R"), "s_suppkey").alias("reason_key"), F.col("s_suppkey").alias("supplier_id"),
+        F.col("s_name").alias("supplier_name"), F.col("s_nationkey").alias("region"),
+        F.when(F.col("s_nationkey") % 5 == 0, F.lit(False)).when(F.col("s_nationkey") % 5 == 1, F.lit(True)).alias("is_active"))
+    n = -(-rows.count() // 1000) or 1  # a file holds one array of about 1,000 rows
+    arrays = rows.groupBy(F.pmod("supplier_id", F.lit(n)).cast("int").alias("file")).agg(
+        F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.repartitionById(n, F.col("file")).select("value").write.text(at)
+    declared = T.StructType([T.StructField("reason_key", T.StringType()), T.StructField("supplier_id", T.LongType()),
+                             T.StructField("supplier_name", T.StringType()), T.StructField("is_active", T.BooleanType())])
+    read = files.read_reference(spark, at, declared)
+    return read.where(active()).select("reason_key", "supplier_id", "supplier_name", "region")

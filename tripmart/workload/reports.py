@@ -11,7 +11,7 @@ from tripmart import rules
 from tripmart.workload import inputs
 from tripmart.workload.inputs import table
 from tripmart.workload.registry import query
-from tripmart.workload.sql import DIM_OPTION, DIM_PROVINCE, FACT_CTE, OPTIONS, REASONS, RIDES, values, with_
+from tripmart.workload.sql import DIM_OPTION, DIM_PAYMENT, DIM_PROVINCE, FACT_CTE, OPTIONS, REASONS, RIDES, STATUSES, values, with_
 
 DONE, GONE = "ride_status_id = 1", "ride_status_id = 2"
 
@@ -307,15 +307,29 @@ def popular_provinces(spark, sf_dir):
     return audits.popular_shares(inputs.fact(spark, sf_dir))
 
 
-@query(with_(RIDES, DIM_PROVINCE) + """
-    SELECT 'duplicate_ride_id' AS rule_id, ride_id AS key_value, count(*) AS row_count FROM rides GROUP BY ride_id
-    HAVING count(*) > 1
-    UNION ALL SELECT 'orphan_dropoff_city_id', dropoff_city_id, count(*) FROM rides
-    WHERE dropoff_city_id NOT IN (SELECT province_id FROM dim_province) GROUP BY dropoff_city_id
-    UNION ALL SELECT 'orphan_pickup_city_id', pickup_city_id, count(*) FROM rides
-    WHERE pickup_city_id NOT IN (SELECT province_id FROM dim_province) GROUP BY pickup_city_id""")
+#: The foreign keys of a ride: column, dimension, its key.
+FOREIGN_KEYS = [
+    ("booker_id", "dim_booker", "booker_id"), ("driver_id", "dim_driver", "driver_id"), ("vehicle_id", "dim_vehicle", "vehicle_id"),
+    ("pickup_city_id", "dim_province", "province_id"), ("dropoff_city_id", "dim_province", "province_id"),
+    ("ride_option_id", "dim_ride_option", "ride_option_id"), ("payment_method_id", "dim_payment_method", "payment_method_id"),
+    ("ride_status_id", "dim_ride_status", "ride_status_id"),
+    ("cancellation_reason_id", "dim_cancellation_reason", "cancellation_reason_id")]
+_PERSONS = [f"dim_{p} AS (SELECT DISTINCT {p}_id FROM rides WHERE ride_status_id = 1 OR {p}_id LIKE '%1')" for p in ("booker", "driver", "vehicle")]
+
+
+@query(with_(RIDES, DIM_PROVINCE, DIM_OPTION, DIM_PAYMENT, STATUSES, REASONS, *_PERSONS,
+             "dim_ride_option AS (SELECT * FROM dim_option)", "dim_payment_method AS (SELECT * FROM dim_payment)",
+             "dim_ride_status AS (SELECT * FROM statuses)", "dim_cancellation_reason AS (SELECT * FROM reasons)")
+       + "SELECT 'duplicate_ride_id' AS rule_id, ride_id AS key_value, count(*) AS row_count FROM rides GROUP BY ride_id HAVING count(*) > 1"
+       + "".join(f""" UNION ALL SELECT 'orphan_{child}', CAST({child} AS VARCHAR), count(*) FROM rides
+    WHERE {child} NOT IN (SELECT {key} FROM {dim}) GROUP BY {child}""" for child, dim, key in FOREIGN_KEYS))
 def ref_integrity(spark, sf_dir):
-    """Raw rides: repeated ids, and provinces that the reference table lacks."""
-    provinces = inputs.dim(spark, sf_dir, "dim_province")
-    return audits.integrity(inputs.rides(spark, sf_dir), [
-        ("dropoff_city_id", provinces, "province_id"), ("pickup_city_id", provinces, "province_id")])
+    """Raw rides: repeated ids, and every foreign key that its dimension lacks; the persons are those known from a part of the rides."""
+    rides = inputs.rides(spark, sf_dir)
+
+    def parent(dim: str, key: str):
+        if dim not in ("dim_booker", "dim_driver", "dim_vehicle"):
+            return inputs.dim(spark, sf_dir, dim)
+        return rides.where((F.col("ride_status_id") == 1) | F.col(key).like("%1")).select(key).distinct()
+
+    return audits.integrity(rides, [(child, parent(dim, key), key) for child, dim, key in FOREIGN_KEYS])
