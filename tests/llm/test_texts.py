@@ -355,7 +355,7 @@ def test_model_learns_from_all_texts(spark):
     for _, text in rows:
         classes = [lm.END, *(model.classes[i] for w in hashing.spaced_words(text) for i in coder.ids(w)), lm.END]
         np.add.at(want, (classes[:-1], classes[1:]), 1)
-    assert (lm.count_pairs(df, model) == want).all()
+    assert (lm.count_pairs(lm.tokenise(df, model.vocabulary), model) == want).all()
     first = lm.Attention.start(want).p
     assert all(np.abs(model.attention.p[x] - first[x]).max() > 0.01 for x in lm.Attention.NAMES)
     a, b, c = (model.classes[coder.ids(w)[0]] for w in (b"alpha", b"gamma", b"epsilon"))
@@ -366,15 +366,84 @@ def test_model_learns_from_all_texts(spark):
 
 def test_every_window_is_learned():
     rng = np.random.default_rng(4)
-    lengths = np.array([1, 24, 25, 700])
+    lengths, copies = np.array([1, 24, 25, 700]), np.array([1, 3, 1, 2])
     classes, ends = rng.integers(0, lm.CLASSES, lengths.sum()), np.cumsum(lengths)
     learner = lm.Learner(lm.Attention.start(np.ones((lm.CLASSES, lm.CLASSES))))
-    taken, learn = [], learner.learn
-    learner.learn = lambda seen, ahead, valid: taken.append(ahead[valid]) or learn(seen, ahead, valid)
-    assert (learner.texts(classes, ends - lengths, ends) < 0).all() and learner.windows == 1 + 1 + 2 + 30
-    assert Counter(np.concatenate(taken).tolist()) == Counter(classes.tolist())
-    learner.finish()
+    taken, learn = Counter(), learner.learn
+
+    def noted(seen, ahead, weight, left):
+        for kind, n in zip(ahead.ravel().tolist(), weight.ravel().tolist()):
+            taken[kind] += n
+        return learn(seen, ahead, weight, left)
+    learner.learn = noted
+    assert (learner.texts(classes, ends - lengths, ends, copies) < 0).all() and learner.windows == 1 + 3 + 2 + 60
     assert learner.step == lm.STEPS
+    want = Counter(np.repeat(classes, np.repeat(copies, lengths)).tolist())
+    assert {k: n for k, n in taken.items() if n} == {k: n * lm.STEPS for k, n in want.items()}
+
+
+def test_many_windows_are_learned_once():
+    classes = np.random.default_rng(4).integers(0, lm.CLASSES, lm.WINDOW * lm.BATCH * (lm.STEPS + 2))
+    learner = lm.Learner(lm.Attention.start(np.ones((lm.CLASSES, lm.CLASSES))))
+    learner.learn = lambda *batch: setattr(learner, "step", learner.step + 1) or np.full(batch[0].shape, -1.0)
+    assert (learner.texts(classes, np.array([0]), np.array([len(classes)]), np.array([1])) == -1).all()
+    assert learner.step == lm.STEPS + 2
+
+
+def test_subwords_of_many_words():
+    coder = lm.Subwords(lm.read_vocabulary())
+    words = [b"the", "\u00e9t\u00e9".encode(), b"\xff\xe3\x81", b"x" * 100, "\u3000".encode(), b"ab" * 40, "\ud800".encode("utf-8", "surrogatepass")]
+    size, ids = coder.all_ids(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [coder.ids(w) for w in words]
+    assert len(coder.all_ids([])[0]) == 0
+
+
+def test_company(spark):
+    df = spark.createDataFrame([(1, "a b c a"), (2, "c b"), (3, None), (4, "")], "doc_id long, text string")
+    coder = lm.Subwords(lm.read_vocabulary())
+    tokens = lm.tokenise(df, lm.read_vocabulary())
+    counts = lm.count_subwords(tokens, coder.size)
+    a, b, c = (coder.ids(w)[0] for w in (b"a", b"b", b"c"))
+    assert (counts[a], counts[b], counts[c], counts.sum()) == (2, 2, 2, 6)
+    place = np.argsort(-counts, kind="stable").tolist().index
+    got = lm.count_company(tokens, counts)
+    assert {(i, k): got[i, k] for i, k in zip(*map(np.ndarray.tolist, np.nonzero(got)))} == {
+        (a, lm.SINGLE): 1, (b, place(a)): 1, (c, place(b)): 1, (a, place(c)): 1, (c, lm.SINGLE): 1, (b, place(c)): 1}
+
+
+def _likely(model, text):
+    """log10 probability of a text word by word, from the definition of the model."""
+    coder, p, c = lm.Subwords(model.vocabulary), model.attention.p, dict(zip(model.words.tolist(), model.counts.tolist()))
+    words = hashing.spaced_words(text)
+    ids = [coder.ids(w) for w in words]
+    classes = [*(int(model.classes[i]) for w in ids for i in w), lm.END]
+    before, stride, log_p = [lm.END, *classes[:-1]], lm.WINDOW - lm.OVERLAP, []
+    for i, kind in enumerate(classes):
+        start = 0 if i < lm.WINDOW else stride * ((i - lm.OVERLAP) // stride)
+        at = np.array(before[start:i + 1])
+        w = np.exp(p["query"][before[i]] @ p["key"][at].T + p["bias"][i - np.arange(start, i + 1)])
+        z = p["own"][before[i]] + (w / w.sum()) @ p["value"][at] @ p["out"]
+        log_p.append((z[kind] - np.log(np.exp(z).sum())) / math.log(10))
+    total, at, every = 0.0, 0, model.tokens + model.distinct + 1
+    for w, own in [*zip(words, ids), (None, [None])]:
+        expert = sum(log_p[at:at + len(own)]) + sum(model.inside[i] for i in own if i is not None)
+        at += len(own)
+        n = model.ends if w is None else c.get(lm.xxh3_64_intdigest(w), 0)
+        total += math.log10(model.share * (n + 1) / every + (1 - model.share) * 10 ** expert)
+    return total
+
+
+def test_score_against_its_definition_and_splits(docs, spark):
+    """The same scores however the rows are split and ordered, equal to the mixture computed word by word."""
+    got = []
+    for parts in (1, 6):
+        model, rare = lm.train(docs.repartition(parts, "source", "doc_id"), lm.read_vocabulary())
+        got.append(sorted(((r.doc_id is None, r.doc_id, r.score) for r in lm.score(docs.repartition(parts), model, rare).collect()),
+                          key=str))
+    assert len(got[0]) == len(got[1]) and all(
+        x[1] == y[1] and abs(x[2] - y[2]) < 1e-6 * max(1, abs(x[2])) for x, y in zip(*got))
+    want = sorted(_likely(model, r.text) for r in docs.collect())
+    assert np.allclose(want, sorted(x[2] for x in got[1]), rtol=1e-4, atol=1e-3)
 
 
 # archives -----------------------------------------------------------------------------------------------------------

@@ -192,8 +192,9 @@ def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = lambda c: F.coalesce(F.crc32(c.cast("string")) % 7 == 2, F.lit(False))
-    model, rare = lm.train(docs.where(~held_out(F.col("doc_id"))), lm.read_vocabulary())
-    return lm.score(docs, model, rare).withColumn("held_out", held_out(F.col("doc_id")))
+    tokens = lm.tokenise(docs, lm.read_vocabulary(), ~held_out(F.col("doc_id")))
+    model, rare = lm.train(tokens, lm.read_vocabulary())
+    return lm.score(tokens, model, rare).withColumn("held_out", held_out(F.col("doc_id")))
 
 
 @query("""
