@@ -376,7 +376,7 @@ def test_every_window_is_learned():
             taken[kind] += n
         return learn(seen, ahead, weight, left)
     learner.learn = noted
-    assert (learner.texts(classes, ends - lengths, ends, copies) < 0).all() and learner.windows == 1 + 3 + 2 + 60
+    assert (learner.texts(classes, ends - lengths, ends, copies, lm.STEPS) < 0).all() and learner.windows == 1 + 3 + 2 + 60
     assert learner.step == lm.STEPS
     want = Counter(np.repeat(classes, np.repeat(copies, lengths)).tolist())
     assert {k: n for k, n in taken.items() if n} == {k: n * lm.STEPS for k, n in want.items()}
