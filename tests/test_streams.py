@@ -36,52 +36,48 @@ def same(a, b):
     return key(a) == key(b)
 
 
-@pytest.mark.parametrize("batches,compact_every", [(1, 0), (3, 2)])
-def test_upsert_stream_equals_batch(spark, tmp_path, batches, compact_every):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_upsert_stream_equals_batch(spark, tmp_path, batches):
     log = random_log(7, 120)
     target = str(tmp_path / "target")
-    writer = keyed.upsert_stream(feed(spark, tmp_path, cut(log, batches)), target, "k", "seq", compact_every)
+    assert keyed.read_upserted(spark, target, "k", "seq") is None
+    writer = keyed.upsert_stream(feed(spark, tmp_path, cut(log, batches)), target, "k", "seq")
     start(writer, str(tmp_path / "cp")).awaitTermination()
     want = latest(spark.createDataFrame(log, LOG), "k", "seq")
     assert same(keyed.read_upserted(spark, target, "k", "seq"), want)
 
 
-def test_upsert_survives_replay_and_a_crash_while_compacting(spark, tmp_path, monkeypatch):
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
     log = random_log(8, 90)
-    target = str(tmp_path / "target")
     parts = [spark.createDataFrame(p, LOG) for p in cut(log, 3)]
-    for n in (0, 1, 1, 2, 0):  # batches 1 and 0 are replayed
-        latest(parts[n], "k", "seq").write.mode("overwrite").parquet(f"{target}/changes/batch={n}")
-    want = latest(spark.createDataFrame(log, LOG), "k", "seq")
-    keyed.compact(spark, target, "k", "seq", 0, "k % 3")
-    parts[0].limit(1).write.parquet(f"{target}/base/slice=s_0/upto=2")  # half of a slice that was never named
-    assert same(keyed.read_upserted(spark, target, "k", "seq"), want)
-    keyed.compact(spark, target, "k", "seq", 2, "k % 3")
-    assert same(spark.read.parquet(f"{target}/base").where("upto = 2").drop("slice", "upto"), want)
-    assert same(keyed.read_upserted(spark, target, "k", "seq"), want)
-
-
-def test_compaction_writes_only_touched_slices(spark, tmp_path):
-    target = str(tmp_path / "target")
-    put = lambda n, rows: spark.createDataFrame(rows, LOG).write.parquet(f"{target}/changes/batch={n}")
-    put(0, [(k, "A", 0, 1) for k in range(6)])
-    keyed.compact(spark, target, "k", "seq", 0, "k % 3")
-    put(1, [(1, "B", 0, 2)])
-    keyed.compact(spark, target, "k", "seq", 1, "k % 3")
-    folders = sorted(str(p.relative_to(target)) for p in (tmp_path / "target/base").glob("slice=*/upto=*"))
-    assert folders == ["base/slice=s_0/upto=0", "base/slice=s_1/upto=0", "base/slice=s_1/upto=1",
-                       "base/slice=s_2/upto=0"]
-    put(2, [(2, "C", 0, 0), (9, "D", 0, 1)])  # a stale row and a new key, not compacted
-    got = {r.k: r.tracked for r in keyed.read_upserted(spark, target, "k", "seq").collect()}
-    assert got == {0: "A", 1: "B", 2: "A", 3: "A", 4: "A", 5: "A", 9: "D"}
+    for n in (0, 1, 1, 2, 0):
+        keyed._append(latest(parts[n], "k", "seq"), str(tmp_path / "rows"), n)
+        keyed._append(parts[n], str(tmp_path / "log"), n)
+    whole = spark.createDataFrame(log, LOG)
+    assert same(keyed.read_upserted(spark, str(tmp_path / "rows"), "k", "seq"), latest(whole, "k", "seq"))
+    assert keyed.changes(spark, str(tmp_path / "log")).count() == len(log)
 
 
 def test_history_stream_equals_batch(spark, tmp_path):
     log = random_log(9, 90)
     target = str(tmp_path / "target")
-    writer = keyed.history_stream(feed(spark, tmp_path, cut(log, 3)), target, "k", "seq", ["tracked"])
-    start(writer, str(tmp_path / "cp")).awaitTermination()
-    assert same(keyed.read_history(spark, target), history(spark.createDataFrame(log, LOG), "k", "seq", ["tracked"]))
+    assert keyed.read_history(spark, target, "k", "seq", ["tracked"]) is None
+    start(keyed.history_stream(feed(spark, tmp_path, cut(log, 3)), target), str(tmp_path / "cp")).awaitTermination()
+    assert same(keyed.read_history(spark, target, "k", "seq", ["tracked"]),
+                history(spark.createDataFrame(log, LOG), "k", "seq", ["tracked"]))
+
+
+def test_newest_load_is_read_and_a_repeated_one_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "dim")
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "name string")
+    put = lambda day, df: refresh.write_load(df, path, T0 + timedelta(days=day))
+    put(0, rows("a", "b"))
+    put(1, rows("torn"))
+    put(1, rows("a", "c"))
+    assert sorted(r.name for r in refresh.read_load(spark, path).collect()) == ["a", "c"]
+    put(0, rows("old"))
+    assert sorted(r.name for r in refresh.read_load(spark, path).collect()) == ["a", "c"]
+    assert refresh.read_load(spark, path).columns == ["name"]
 
 
 def ride(ride_id, at, **values):

@@ -27,10 +27,13 @@ HEADER_LINES = 100
 EXTRA = "_extra"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """A parquet table, or None if there is none yet. Without a schema all files are asked for their columns."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, merge: bool = True) -> DataFrame | None:
+    """A parquet table, or None if there is none yet.
+
+    Without a schema all files are asked for their columns, or, without `merge`, one of them for all.
+    """
     try:
-        return (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)).parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read.option("mergeSchema", merge)).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

@@ -1,120 +1,52 @@
 """SCD 1 and SCD 2 tables kept up to date by a stream, on plain parquet.
 
-SCD 1: a micro-batch is reduced to its newest row per key and written as one small change folder, so a batch
-costs what arrived, not what is stored. Readers take the newest row over base and changes. `compact` folds the
-changes into the base from time to time. The base is cut into slices by a function of the key, and only slices
-with changes are written again: with time-ordered keys, the recent ones. New slice folders are named last, so a
-crash in between leaves the old state readable.
-
-SCD 2: the change log is kept whole; per batch only touched keys are computed again.
+A micro-batch is one partition of a table of changes, written by overwrite, so that a replayed batch replaces itself and a
+batch costs what arrived, not what is stored. Current rows and versions are ordinary queries over that table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from tripmart.operators.history import history, rebuild_touched
-from tripmart.operators.latest import latest, upsert
+from tripmart.operators.history import history
+from tripmart.operators.latest import latest
 from tripmart.sources.files import read_table
 from tripmart.streaming.runs import per_batch
 
+BATCH = "batch"
+
+
+def _append(batch: DataFrame, target: str, number: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
+
+
+def changes(spark: SparkSession, target: str) -> DataFrame | None:
+    """All changes taken so far; a stream has one schema, so one footer tells it. None before the first batch."""
+    found = read_table(spark, target, merge=False)
+    return None if found is None else found.drop(BATCH)
+
+
+def upsert_stream(stream: DataFrame, target: str, keys: str | Sequence[str], sequence: str | Sequence[str]) -> DataStreamWriter:
+    """Keep the newest row per key of each batch of `stream` at `target`; stale rows lose whenever they arrive."""
+    return per_batch(stream, lambda batch, number: _append(latest(batch, keys, sequence), target, number))
+
+
+def read_upserted(spark: SparkSession, target: str, keys: str | Sequence[str], sequence: str | Sequence[str]) -> DataFrame | None:
+    """Current rows: the newest per key. Tasks keep one row per key before the shuffle."""
+    found = changes(spark, target)
+    return None if found is None else latest(found, keys, sequence)
+
+
+def history_stream(stream: DataFrame, target: str) -> DataStreamWriter:
+    """Keep the whole change log of `stream` at `target`: a late row may split or join versions of any age."""
+    return per_batch(stream, lambda batch, number: _append(batch, target, number))
+
 
-ONE_SLICE = "'all'"
-
-
-def upsert_stream(stream: DataFrame, target: str, keys: str | Sequence[str], sequence: str | Sequence[str],
-                  compact_every: int = 50, slice_by: str = ONE_SLICE) -> DataStreamWriter:
-    """Keep the newest row per key of `stream` at `target`; stale rows lose whenever they arrive.
-
-    `slice_by` is an SQL expression over the key columns alone, such as the time prefix of a time-ordered id.
-    """
-    def write(batch: DataFrame, number: int) -> None:
-        latest(batch, keys, sequence).write.mode("overwrite").parquet(f"{target}/changes/batch={number}")
-        if compact_every and (number + 1) % compact_every == 0:
-            compact(batch.sparkSession, target, keys, sequence, number, slice_by)
-    return per_batch(stream, write)
-
-
-def _slice(expression: str) -> Column:
-    return F.concat(F.lit("s_"), F.coalesce(F.expr(expression).cast("string"), F.lit("")))
-
-
-def _named_slices(spark: SparkSession, target: str) -> dict[str, int]:
-    """The valid folder of each slice: a few rows, one per slice."""
-    named = read_table(spark, f"{target}/named")
-    return {} if named is None else dict(named.groupBy("slice").agg(F.max("upto")).collect())
-
-
-def _base(spark: SparkSession, target: str, named: dict[str, int]) -> DataFrame | None:
-    """Rows of the named folders; the condition is on partition columns, so other folders are not read."""
-    if not named:
-        return None
-    valid = [f"{s}:{n}" for s, n in named.items()]
-    base = spark.read.parquet(f"{target}/base")
-    return base.where(F.concat_ws(":", "slice", F.col("upto").cast("string")).isin(valid)).drop("slice", "upto")
-
-
-def _changes(spark: SparkSession, target: str, named: dict[str, int], upto: int | None = None) -> DataFrame:
-    """Changes that the base does not hold yet; folders of others are pruned."""
-    changes = read_table(spark, f"{target}/changes").where(F.col("batch") > max(named.values(), default=-1))
-    return (changes if upto is None else changes.where(F.col("batch") <= upto)).drop("batch")
-
-
-def read_upserted(spark: SparkSession, target: str, keys: str | Sequence[str],
-                  sequence: str | Sequence[str]) -> DataFrame:
-    """Current rows: the newest per key over base and later changes."""
-    named = _named_slices(spark, target)
-    return upsert(_base(spark, target, named), _changes(spark, target, named), keys, sequence)
-
-
-def compact(spark: SparkSession, target: str, keys: str | Sequence[str], sequence: str | Sequence[str],
-            upto: int, slice_by: str = ONE_SLICE) -> None:
-    """Fold the changes up to batch `upto` into their slices of the base, then name the new folders."""
-    named = _named_slices(spark, target)
-    if max(named.values(), default=-1) >= upto:
-        return
-    changes = _changes(spark, target, named, upto)
-    touched = [r[0] for r in changes.select(_slice(slice_by)).distinct().collect()]
-    base = _base(spark, target, {s: n for s, n in named.items() if s in set(touched)})
-    merged = upsert(base, changes, keys, sequence)
-    (merged.withColumn("slice", _slice(slice_by)).withColumn("upto", F.lit(upto))
-     .hint("rebalance", F.col("slice"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("slice", "upto").parquet(f"{target}/base"))
-    (spark.createDataFrame([(s, upto) for s in touched], "slice string, upto int").coalesce(1)
-     .write.mode("append").parquet(f"{target}/named"))
-
-
-def history_stream(stream: DataFrame, target: str, keys: str | Sequence[str], sequence: str,
-                   tracked: Sequence[str]) -> DataStreamWriter:
-    """Keep SCD 2 versions of `stream` at `target`; a late row rewrites the versions of its key."""
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{target}/log/batch={number}")
-        log = spark.read.parquet(f"{target}/log").where(F.col("batch") <= number)
-        arrived = log.where(F.col("batch") == number).drop("batch")
-        log = log.drop("batch")
-        before = _versions_before(spark, target, number)
-        versions = (history(log, keys, sequence, tracked) if before is None
-                    else rebuild_touched(before, log, arrived, keys, sequence, tracked))
-        versions.write.mode("overwrite").parquet(f"{target}/versions/v={number}")
-        spark.range(1).select(F.lit(True).alias("named")).write.mode("overwrite").parquet(f"{target}/named/v={number}")
-    return per_batch(stream, write)
-
-
-def _versions_before(spark: SparkSession, target: str, number: int | None = None) -> DataFrame | None:
-    named = read_table(spark, f"{target}/named")
-    if named is None:
-        return None
-    if number is not None:
-        named = named.where(F.col("v") < number)
-    newest = named.agg(F.max("v")).first()[0]
-    return None if newest is None else spark.read.parquet(f"{target}/versions/v={newest}")
-
-
-def read_history(spark: SparkSession, target: str) -> DataFrame | None:
-    return _versions_before(spark, target)
+def read_history(spark: SparkSession, target: str, keys: str | Sequence[str], sequence: str,
+                 tracked: Sequence[str]) -> DataFrame | None:
+    """SCD 2 versions of all rows taken so far, by sequence, whatever batches they came in."""
+    found = changes(spark, target)
+    return None if found is None else history(found, keys, sequence, tracked)

@@ -6,7 +6,6 @@ can be repeated, so a refresh that died is simply run again.
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +21,7 @@ from tripmart.streaming.rides import land_messages, silver_stream, unite_feeds,
 from tripmart.streaming.runs import per_batch, start
 
 
-# Slices of the keyed tables. Ride ids begin with their time: one value of four characters spans about 12 days.
-TIME_PREFIX = "left(ride_id, 4)"
-HASH_SLICES = "pmod(xxhash64({key}), 64)"
+LOAD = "load"
 
 
 def refresh(spark: SparkSession, root: str, landing: str, mapping: str | None, loaded_at: datetime,
@@ -56,9 +53,10 @@ def refresh(spark: SparkSession, root: str, landing: str, mapping: str | None, l
         _keep(spark, root, "fact_rides", FACT)
     if mapping:
         for name, table in STATIC_DIMS.items():
-            publish(gold.static_dim(bronze.reference_log(spark, f"{root}/bronze", table), name), f"{root}/gold/{name}")
+            write_load(gold.static_dim(bronze.reference_log(spark, f"{root}/bronze", table), name), f"{root}/gold/{name}", loaded_at)
         for name, (table, _) in SCD2_DIMS.items():
-            publish(gold.versioned_dim(bronze.reference_log(spark, f"{root}/bronze", table), name), f"{root}/gold/{name}")
+            write_load(gold.versioned_dim(bronze.reference_log(spark, f"{root}/bronze", table), name), f"{root}/gold/{name}",
+                       loaded_at)
 
 
 def _named_loads(loads: DataFrame, rides: str, silver: str, number: int, pepper: str) -> None:
@@ -71,17 +69,16 @@ def _named_loads(loads: DataFrame, rides: str, silver: str, number: int, pepper:
         write_batch(unite_feeds(None, rows, pepper=pepper), silver, number)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Write a table under a new name and then say that it is there: readers see the old one or the new one whole."""
-    run = uuid.uuid4().hex
-    df.write.parquet(f"{path}/run={run}")
-    names = df.sparkSession.createDataFrame([(run,)], "run string").withColumn("at", F.current_timestamp())
-    names.coalesce(1).write.mode("append").parquet(f"{path}_runs")
+def write_load(df: DataFrame, path: str, loaded_at: datetime) -> None:
+    """A dimension as a whole in the partition of its load; a repeated load replaces itself."""
+    df.write.mode("overwrite").parquet(f"{path}/{LOAD}={loaded_at.strftime('%Y%m%d%H%M%S%f')[:-3]}")  # milliseconds: a long
 
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    run = spark.read.parquet(f"{path}_runs").orderBy(F.col("at").desc()).first().run
-    return spark.read.parquet(f"{path}/run={run}")
+def read_load(spark: SparkSession, path: str) -> DataFrame:
+    """The newest load. The choice is one number, and the condition on it prunes the other loads."""
+    loads = spark.read.parquet(path)
+    newest = loads.agg(F.max(LOAD)).first()[0]
+    return loads.where(F.col(LOAD) == newest).drop(LOAD)
 
 
 def _run(writer, root: str, name: str) -> None:
@@ -91,8 +88,7 @@ def _run(writer, root: str, name: str) -> None:
 def _keep(spark: SparkSession, root: str, name: str, columns: list[str]) -> None:
     wanted = list(dict.fromkeys([*columns, *gold.SEQUENCE]))
     rows = silver_stream(spark, f"{root}/silver/rides").select(*wanted)
-    slices = TIME_PREFIX if name == "fact_rides" else HASH_SLICES.format(key=columns[0])
-    _run(keyed.upsert_stream(rows, f"{root}/gold/{name}", columns[0], gold.SEQUENCE, slice_by=slices), root, name)
+    _run(keyed.upsert_stream(rows, f"{root}/gold/{name}", columns[0], gold.SEQUENCE), root, name)
 
 
 def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -103,4 +99,4 @@ def read_gold(spark: SparkSession, root: str, name: str) -> DataFrame:
         if name == "fact_rides":
             return rows.select(*FACT, *calendar())
         return rows.drop(INGESTED_AT)
-    return read_published(spark, f"{root}/gold/{name}")
+    return read_load(spark, f"{root}/gold/{name}")
