@@ -17,6 +17,7 @@ from tripmart.functions.columns import (
 )
 from tripmart.operators.asof import asof_join
 from tripmart.operators.joins import duplicate_keys, orphans
+from tripmart.operators.grid import with_boxes
 from tripmart.operators.sizing import small_side
 
 FARE_TOLERANCE = 0.011
@@ -207,6 +208,23 @@ def location_problems(locations: DataFrame, address: str = "address", province:
     return locations.withColumn("rule_id", problem).where(F.col("rule_id").isNotNull())
 
 
+AREA = ("min_lat", "min_lon", "max_lat", "max_lon")
+
+
+def outside_area(rides: DataFrame, areas: DataFrame) -> DataFrame:
+    """Rides whose pickup lies outside the box of its own province, with the provinces whose boxes hold it.
+
+    `areas` has one row per `province_id` with its box. The own box is met by the province; only rides outside it are looked
+    up in the grid. A ride without a position, or of a province without a box, counts as outside.
+    """
+    own = areas.select(F.col("province_id").alias("_own"), *[F.col(c).alias(f"_{c}") for c in AREA])
+    lat, lon = F.col("pickup_latitude"), F.col("pickup_longitude")
+    inside = (lat >= F.col("_min_lat")) & (lat <= F.col("_max_lat")) & (lon >= F.col("_min_lon")) & (lon <= F.col("_max_lon"))
+    outside = (rides.join(own, F.col("pickup_city_id") == F.col("_own"), "left").where(~F.coalesce(inside, F.lit(False)))
+               .select("ride_id", "pickup_city_id", "pickup_latitude", "pickup_longitude"))
+    return with_boxes(outside, "pickup_latitude", "pickup_longitude", areas, "province_id", AREA, found="found_in")
+
+
 def popular_shares(rides: DataFrame) -> DataFrame:
     """Rides by popularity of pickup and dropoff province and by whether both are the same, with shares."""
     flag = lambda c: F.col(c).isin(rules.POPULAR_PROVINCES)
