@@ -52,3 +52,32 @@ def test_work_dir_is_refused_on_a_cluster_without_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.work_dir(Session(), "x")
+
+
+def test_rides_are_made_where_they_are_read(spark, tmp_path):
+    """No layer is stored beside the line items, and parts do not grow with the table."""
+    from pyspark.sql import functions as F
+
+    from tripmart.workload import inputs
+
+    lines = spark.range(40).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 3).alias("l_partkey"), (F.col("id") % 2).alias("l_suppkey"),
+        F.lit(1).cast("int").alias("l_linenumber"), F.lit(2.0).alias("l_quantity"), F.lit(9.0).alias("l_extendedprice"),
+        F.lit(0.05).alias("l_discount"), F.lit(0.01).alias("l_tax"), F.lit("A").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"), F.lit("2024-01-01").cast("timestamp_ntz").alias("l_shipdate"))
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    files = {f.split("/lineitem.parquet/")[0] for rows in (inputs.rides, inputs.silver_rides, inputs.fact)
+             for f in rows(spark, str(tmp_path)).inputFiles()}
+    assert len(files) == 1 and files.pop().endswith(str(tmp_path))
+    assert inputs.fact(spark, str(tmp_path)).count() == 40
+    dealt = inputs.spread(lines, "l_orderkey", rows_per_task=5)
+    assert dealt.rdd.getNumPartitions() == 8 and dealt.count() == 40
+
+
+def test_kept_is_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from tripmart.operators.sizing import kept
+
+    rows = kept(spark.range(50).withColumn("x", F.rand()))
+    assert sorted(rows.collect()) == sorted(rows.collect()) and rows.inputFiles()
