@@ -9,7 +9,7 @@ from tripmart.operators.distinct import bitmaps, count_distinct, numbered
 from tripmart.operators.offsets import landed_intervals, repeated_offsets
 from tripmart.operators.quantiles import exact_quantiles
 from tripmart.operators.reconcile import compare_tables
-from tripmart.operators.sizing import settled
+from tripmart.operators.sizing import kept, settled
 from tripmart.plans import audits
 from tripmart.workload import inputs
 from tripmart.workload.inputs import table
@@ -25,7 +25,7 @@ MEASURES, FRACTIONS = ["total_fare", "duration_minutes", "travel_distance_km"],
         quantile_disc(v, {f}) AS value FROM long WHERE v IS NOT NULL GROUP BY 1, 2""" for f in FRACTIONS))
 def service_quantiles(spark, sf_dir):
     """Fares, minutes and distances per ride option, exact at any size."""
-    done = inputs.fact(spark, sf_dir).where("ride_status_id = 1")
+    done = kept(inputs.fact(spark, sf_dir).where("ride_status_id = 1").select("ride_option_id", *MEASURES))
     return exact_quantiles(done, ["ride_option_id"], MEASURES, FRACTIONS)
 
 
@@ -36,7 +36,7 @@ def service_quantiles(spark, sf_dir):
     UNION ALL SELECT 'month', CAST(last_day(booking_date) AS DATE), count(DISTINCT booker_id) FROM fact GROUP BY 2""")
 def active_bookers(spark, sf_dir):
     """Days, the seven days up to each day, and months, all from the same daily bitmaps."""
-    fact = inputs.fact(spark, sf_dir).select("booking_date", "booker_id")
+    fact = kept(inputs.fact(spark, sf_dir).select("booking_date", "booker_id"))
     daily = settled(bitmaps(fact, ["booking_date"], numbered(fact, "booker_id"), "booker_id"))
     days = daily.select(F.col("booking_date").alias("last_day")).distinct()
     weeks = daily.withColumn("last_day", F.explode(F.sequence("booking_date", F.date_add("booking_date", 6)))).join(
@@ -57,9 +57,9 @@ def active_bookers(spark, sf_dir):
     SELECT hour, ride_status_id, count(*) AS rides, CAST(sum(fare) AS DOUBLE) AS revenue FROM final GROUP BY 1, 2""")
 def mart_by_deltas(spark, sf_dir):
     """Hourly revenue after three batches: all rides, corrected hours of some, corrected fares of some, a stale repeat."""
-    fact = inputs.fact(spark, sf_dir).select(
+    fact = kept(inputs.fact(spark, sf_dir).select(
         "ride_id", F.lit(0).alias("version"), F.col("booking_hour").alias("hour"), "ride_status_id", "ride_option_id",
-        "payment_method_id", F.col("total_fare").cast("decimal(18,2)").alias("fare"))
+        "payment_method_id", F.col("total_fare").cast("decimal(18,2)").alias("fare")))
     moved = fact.where("payment_method_id = 3").withColumn("hour", (F.col("hour") + 1) % 24)
     dearer = lambda df: df.withColumn("fare", F.when(F.col("ride_option_id") == 2, F.col("fare") + 5).otherwise(
         F.col("fare")).cast("decimal(18,2)"))
