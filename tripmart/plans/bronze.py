@@ -66,7 +66,7 @@ def load_historical(spark: SparkSession, landing: str, table: str, manifest: str
     parts = [read_files(spark, paths, fmt, schema, multi_line=csv_multi_line if fmt == "csv" else not json_lines)
              for fmt, paths in by_format.items() if paths]
     target = f"{table}/load_id={load_id}"
-    union_feeds(*parts).withColumn("_ingested_at", F.lit(loaded_at)).write.mode("overwrite").parquet(target)
+    union_feeds(*parts).withColumn("_ingested_at", F.lit(loaded_at)).write.mode("overwrite").parquet(target, compression="zstd")
 
     counts = count_per_file(spark.read.parquet(target).select(SOURCE_PATH))
     entries = (

@@ -65,7 +65,7 @@ def write_silver(united: DataFrame, path: str) -> DataStreamWriter:
 
 
 def write_batch(batch: DataFrame, path: str, number: int) -> None:
-    batch.write.mode("overwrite").partitionBy("_malformed").parquet(f"{path}/batch={number}")
+    batch.write.mode("overwrite").partitionBy("_malformed").parquet(f"{path}/batch={number}", compression="zstd")
 
 
 def silver_stream(spark: SparkSession, path: str) -> DataFrame:

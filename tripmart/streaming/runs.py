@@ -20,4 +20,4 @@ def per_batch(stream: DataFrame, action: Callable[[DataFrame, int], None], mode:
 
 def append_to(stream: DataFrame, path: str) -> DataStreamWriter:
     """Append-only parquet table; the sink's own log makes a replayed batch harmless."""
-    return stream.writeStream.outputMode("append").format("parquet").option("path", path)
+    return stream.writeStream.outputMode("append").format("parquet").option("compression", "zstd").option("path", path)

@@ -72,7 +72,7 @@ def _land(spark, sf_dir, ours):
     messages.to_messages(ours).unionByName(
         table(spark, sf_dir, "documents").select(
             *[(F.col("text").cast("binary") if f.name == "value" else F.lit(None).cast(f.dataType)).alias(f.name)
-              for f in ENVELOPE.fields])).write.parquet(sent)
+              for f in ENVELOPE.fields])).write.parquet(sent, compression="zstd")
     start(live.land_messages(messages.file_feed(spark, sent), bronze), work_dir(spark, "live_bronze_checkpoint")
           ).awaitTermination()
     return bronze
@@ -92,7 +92,7 @@ def stream_bronze(spark, sf_dir):
 def stream_silver(spark, sf_dir):
     """Live completed rides, historical cancelled ones and malformed messages through one silver stream."""
     historical, silver = work_dir(spark, "stream_historical"), work_dir(spark, "stream_silver")
-    inputs.rides(spark, sf_dir).where("ride_status_id = 2").write.parquet(historical)
+    inputs.rides(spark, sf_dir).where("ride_status_id = 2").write.parquet(historical, compression="zstd")
     envelope = ENVELOPE
     completed = inputs.rides(spark, sf_dir).where("ride_status_id = 1")
     united = live.unite_feeds(_stream(spark, _land(spark, sf_dir, completed), envelope),
