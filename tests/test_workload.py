@@ -81,3 +81,48 @@ def test_kept_is_computed_once(spark):
 
     rows = kept(spark.range(50).withColumn("x", F.rand()))
     assert sorted(rows.collect()) == sorted(rows.collect()) and rows.inputFiles()
+
+
+def _ride_lines(spark, n):
+    """Line items of n // 2 orders, two rows each, of five suppliers; some without an order."""
+    from pyspark.sql import functions as F
+
+    return spark.range(n).select(
+        F.when(F.col("id") % 10 > 0, F.col("id") % (n // 2)).alias("l_orderkey"), (F.col("id") % 3).alias("l_partkey"),
+        (F.col("id") % 5).alias("l_suppkey"), F.lit(1).cast("int").alias("l_linenumber"), F.lit(2.0).alias("l_quantity"),
+        F.lit(9.0).alias("l_extendedprice"), F.lit(0.05).alias("l_discount"), F.lit(0.01).alias("l_tax"),
+        F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+        F.timestamp_seconds(F.col("id") * 86400).cast("timestamp_ntz").alias("l_shipdate"))
+
+
+def test_fact_shuffles_line_items_only(spark, tmp_path):
+    """The rides of one id meet when the line items are dealt; whole rides are not shuffled again."""
+    from tripmart.plans import gold
+    from tripmart.workload import inputs
+
+    _ride_lines(spark, 60).write.parquet(f"{tmp_path}/lineitem.parquet")
+    fact = inputs.fact(spark, str(tmp_path))
+    plan = fact._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(concat(R" in plan
+    want = gold.fact_rides(inputs.silver_rides(spark, str(tmp_path)))
+    assert sorted(fact.collect(), key=str) == sorted(want.collect(), key=str) and fact.count() == 27
+
+
+def test_rides_of_a_person_are_dealt_to_few_tasks(spark, tmp_path):
+    """The rows that the map side of a person dimension sends grow with the persons, not with persons times tasks."""
+    from pyspark.sql import functions as F
+
+    from tripmart.plans import gold
+    from tripmart.workload import inputs
+
+    lines = _ride_lines(spark, 2000)
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, key in (("dim_vehicle", "vehicle_id"), ("dim_driver", "driver_id"), ("dim_booker", "booker_id")):
+        dealt = inputs.spread(lines, *inputs.person_keys(name), rows_per_task=20)
+        tasks = dealt.select(inputs.ride_keys()[key].alias("k"), F.spark_partition_id().alias("task")).distinct().groupBy("k").agg(
+            F.count("*").alias("n"))
+        assert dealt.rdd.getNumPartitions() == 100 and tasks.agg(F.max("n")).first()[0] <= inputs.TASKS_PER_PERSON
+        want = gold.person_dim(inputs.silver_rides(spark, str(tmp_path)), name)
+        assert sorted(inputs.person_dim(spark, str(tmp_path), name).collect(), key=str) == sorted(want.collect(), key=str)
+        plan = inputs.person_dim(spark, str(tmp_path), name)._jdf.queryExecution().executedPlan().toString()
+        assert f"Exchange hashpartitioning(concat({key[0].upper()}" in plan

@@ -78,17 +78,17 @@ def _person_sql(columns: list[str]) -> str:
 
 @query(_person_sql(["booker_id", "booker_name", "booker_email", "booker_phone"]))
 def dim_booker(spark, sf_dir):
-    return gold.person_dim(inputs.silver_rides(spark, sf_dir), "dim_booker")
+    return inputs.person_dim(spark, sf_dir, "dim_booker")
 
 
 @query(_person_sql(["driver_id", "driver_name", "driver_phone", "driver_license"]))
 def dim_driver(spark, sf_dir):
-    return gold.person_dim(inputs.silver_rides(spark, sf_dir), "dim_driver")
+    return inputs.person_dim(spark, sf_dir, "dim_driver")
 
 
 @query(_person_sql(["vehicle_id", "vehicle_license_plate"]))
 def dim_vehicle(spark, sf_dir):
-    return gold.person_dim(inputs.silver_rides(spark, sf_dir), "dim_vehicle")
+    return inputs.person_dim(spark, sf_dir, "dim_vehicle")
 
 
 @query(with_(DIM_OPTION) + "SELECT * FROM dim_option")
@@ -103,7 +103,7 @@ def dim_payment_method(spark, sf_dir):
 
 @query(with_(FACT_CTE) + "SELECT * FROM fact")
 def fact_rides(spark, sf_dir):
-    return gold.fact_rides(inputs.silver_rides(spark, sf_dir))
+    return inputs.fact(spark, sf_dir)
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS booking_date, "
