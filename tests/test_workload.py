@@ -126,3 +126,17 @@ def test_rides_of_a_person_are_dealt_to_few_tasks(spark, tmp_path):
         assert sorted(inputs.person_dim(spark, str(tmp_path), name).collect(), key=str) == sorted(want.collect(), key=str)
         plan = inputs.person_dim(spark, str(tmp_path), name)._jdf.queryExecution().executedPlan().toString()
         assert f"Exchange hashpartitioning(concat({key[0].upper()}" in plan
+
+
+def test_stored_dimensions_are_zstd(spark, tmp_path):
+    import uuid
+
+    from tripmart.plans.tables import save_bucketed
+    from tripmart.workload import inputs
+
+    _ride_lines(spark, 60).write.parquet(f"{tmp_path}/lineitem.parquet")
+    dim, name = inputs.dim(spark, str(tmp_path), "dim_booker"), f"zstd_{uuid.uuid4().hex[:8]}"
+    save_bucketed(dim, name, "booker_id", 2, f"{tmp_path}/bucketed")
+    for rows in (dim, spark.table(name)):
+        assert rows.count() == 3 and all(f.endswith(".zstd.parquet") for f in (x.split("/")[-1].replace(".c000", "") for x in rows.inputFiles()))
+    spark.sql(f"DROP TABLE {name}")

@@ -23,7 +23,7 @@ def save_bucketed(df: DataFrame, name: str, keys: str | Sequence[str], buckets:
     bucket, so such tables are better left without. `path` makes an external table outside the warehouse.
     """
     keys = _as_list(keys)
-    writer = (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+    writer = (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").option("compression", "zstd")
               .bucketBy(buckets, *keys).sortBy(*keys))
     (writer.option("path", path) if path else writer).saveAsTable(name)
 
