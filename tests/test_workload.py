@@ -108,6 +108,16 @@ def test_fact_shuffles_line_items_only(spark, tmp_path):
     assert sorted(fact.collect(), key=str) == sorted(want.collect(), key=str) and fact.count() == 27
 
 
+@pytest.mark.parametrize("name", ["audit_passengers", "audit_status", "audit_summary", "audit_versions",
+                                  "cancel_rate_booking_hour", "cancel_rate_pickup_city_id"])
+def test_queries_on_the_fact_shuffle_rides_once(spark, sf_dir, name):
+    """Every shuffle by the ride is that of the narrow line items; what follows is counted or looked up."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(concat(R") == 1
+    assert "Exchange hashpartitioning(ride_id" not in plan and "Exchange RoundRobin" not in plan
+    assert "Exchange hashpartitioning(l_" not in plan
+
+
 def test_rides_of_a_person_are_dealt_to_few_tasks(spark, tmp_path):
     """The rows that the map side of a person dimension sends grow with the persons, not with persons times tasks."""
     from pyspark.sql import functions as F
