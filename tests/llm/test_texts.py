@@ -7,9 +7,11 @@ import io
 import itertools
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -446,6 +448,161 @@ def test_score_against_its_definition_and_splits(docs, spark):
     assert np.allclose(want, sorted(x[2] for x in got[1]), rtol=1e-4, atol=1e-3)
 
 
+def _ids(rng, size=300):
+    """Ids with random classes, counts and weights."""
+    of, counts = rng.integers(0, lm.END, size), rng.integers(0, 50, size)
+    ids = lm.Ids(of, counts)
+    return ids.with_weights(rng.normal(0, 0.3, ids.own.shape), ids.turn + rng.normal(0, 0.3, ids.turn.shape)), of, counts
+
+
+def _within(ids, h, i):
+    """log probability of an id within its class, turn by turn."""
+    steps = range(ids.first[i], ids.first[i] + ids.depth[i])
+    return sum(-math.log1p(math.exp(-ids.side[j] * (ids.turn[ids.path[j], :-1] @ h + ids.turn[ids.path[j], -1]))) for j in steps)
+
+
+def test_ids_of_a_class_share_it():
+    rng = np.random.default_rng(8)
+    ids, of, counts = _ids(rng)
+    h = rng.normal(0, 1, (1, lm.WIDTH))
+    found = np.array([ids.turns(h, np.array([i]))[0] for i in range(len(of))])
+    assert np.allclose(found, [_within(ids, h[0], i) for i in range(len(of))], atol=1e-5)
+    assert np.allclose(np.bincount(of, np.exp(found)), 1) and ids.depth[ids.end] == 0
+    start = lm.Ids(of, counts)
+    inside = (counts + 0.5) / np.bincount(of, counts + 0.5)[of]
+    assert np.allclose(np.exp(start.turns(np.repeat(h, len(of), axis=0), np.arange(len(of)))), inside)
+    alone = lm.Ids(np.arange(lm.END), np.ones(lm.END, np.int64))
+    assert (alone.turns(np.repeat(h, 3, axis=0), np.array([0, 5, alone.end]), np.ones(3))[0] == 0).all() and not len(alone.turn)
+
+
+def test_gradients_of_ids():
+    rng = np.random.default_rng(0)
+    ids, _, _ = _ids(rng)
+    model = lm.Attention(lm.Attention.start(rng.integers(0, 9, (lm.CLASSES, lm.CLASSES)).astype(float)).p, ids)
+    seen, ahead = rng.integers(0, ids.end + 1, (2, 3, lm.WINDOW))
+    valid = rng.random((3, lm.WINDOW)) < 0.8
+    _, g = model.gradients(seen, ahead, valid)
+    every = {name: (model.p[name], g[name]) for name in lm.Attention.NAMES}
+    for name in lm.Ids.NAMES:
+        met, n, d = g[f"id {name}"]
+        assert len(set(met.tolist())) == len(met) == len(n) == len(d)
+        every[f"id {name}"] = getattr(ids, name), np.zeros_like(getattr(ids, name))
+        every[f"id {name}"][1][met] = d
+    assert g["id own"][1].sum() == seen.size and g["id turn"][1].sum() == ids.depth[ahead].sum()
+    for p, d in every.values():
+        for at in [*zip(*np.nonzero(np.abs(d) > 1e-4))][:12] + [*zip(*np.nonzero(d == 0))][:2]:
+            kept, loss = p[at], []
+            for sign in (1, -1):
+                p[at] = kept + sign * 1e-5
+                loss.append(model.gradients(seen, ahead, valid)[0])
+            p[at] = kept
+            assert abs((loss[0] - loss[1]) / 2e-5 - d[at]) < 1e-4
+
+
+def _of_ids(attention, text):
+    """log10 probability of every id of a text, its end included, from the definition of the model."""
+    p, ids, stride, out = attention.p, attention.ids, lm.WINDOW - lm.OVERLAP, []
+    before = [ids.end, *text[:-1]]
+    q, k, v = (p[x][ids.of[before]] + ids.own[before][:, i * lm.WIDTH:(i + 1) * lm.WIDTH] for i, x in enumerate(("query", "key", "value")))
+    for i, wanted in enumerate(text):
+        at = np.arange(0 if i < lm.WINDOW else stride * ((i - lm.OVERLAP) // stride), i + 1)
+        w = np.exp(k[at] @ q[i] + p["bias"][i - at])
+        h = w / w.sum() @ v[at]
+        z = p["own"][ids.of[before[i]]] + h @ p["out"]
+        out.append((z[ids.of[wanted]] - np.log(np.exp(z).sum()) + _within(ids, h, wanted)) / math.log(10))
+    return out
+
+
+def test_windows_score_each_id_once():
+    rng = np.random.default_rng(1)
+    ids, _, _ = _ids(rng)
+    model = lm.Attention(lm.Attention.start(rng.integers(0, 9, (lm.CLASSES, lm.CLASSES)).astype(float)).p, ids)
+    lengths = [1, 2, 23, 24, 25, 40, 41, 200]
+    text, ends = rng.integers(0, ids.end, sum(lengths)), np.cumsum(lengths)
+    text[ends - 1] = ids.end
+    want = [x for end, n in zip(ends, lengths) for x in _of_ids(model, text[end - n:end].tolist())]
+    assert np.allclose(model.tables().texts(text, ends - lengths, ends), want, atol=1e-4)
+
+
+def test_rows_out_of_range():
+    """Logits beyond what exp can hold give the same probabilities."""
+    x = np.random.default_rng(0).normal(0, 1, (4, 9)).astype(np.float32)
+    want = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    for far in (0, 500, -500):
+        some, total = lm._exp_rows(x + np.float32(far), x[:, 2] + np.float32(far))
+        assert np.allclose(some - np.log(total), want[:, 2], atol=1e-4)
+
+
+def _likely_by_id(model, text):
+    """log10 probability of a text word by word, where ids have weights of their own."""
+    coder, c = lm.Subwords(model.vocabulary), dict(zip(model.words.tolist(), model.counts.tolist()))
+    words = hashing.spaced_words(text)
+    found = [coder.ids(w) for w in words]
+    log_p, at, total, every = _of_ids(model.attention, [i for w in found for i in w] + [coder.size]), 0, 0.0, model.tokens + model.distinct + 1
+    for w, size in [*zip(words, map(len, found)), (None, 1)]:
+        n = model.ends if w is None else c.get(lm.xxh3_64_intdigest(w), 0)
+        total += math.log10(model.share * (n + 1) / every + (1 - model.share) * 10 ** sum(log_p[at:at + size]))
+        at += size
+    return total
+
+
+def test_score_by_id_against_its_definition_and_splits(docs):
+    got = []
+    for parts in (1, 6):
+        model, rare = lm.train(docs.repartition(parts, "source", "doc_id"), lm.read_vocabulary(), by_id=True)
+        got.append(sorted(((r.doc_id is None, r.doc_id, r.score) for r in lm.score(docs.repartition(parts), model, rare).collect()),
+                          key=str))
+    assert len(got[0]) == len(got[1]) and all(
+        x[1] == y[1] and abs(x[2] - y[2]) < 1e-6 * max(1, abs(x[2])) for x, y in zip(*got))
+    want = sorted(_likely_by_id(model, r.text) for r in docs.collect())
+    assert np.allclose(want, sorted(x[2] for x in got[1]), rtol=1e-4, atol=1e-3)
+
+
+def test_scores_tell_ids_by_context(spark, tmp_path):
+    """Every left word has its own right word; texts with the same words in other pairs are less likely by far."""
+    from tripmart.llm.queries import QUERIES
+
+    coder, rng = lm.Subwords(lm.read_vocabulary()), random.Random(4)
+    words = [w for w in (a + b + c for a in "bdklmnprst" for b in "aeiou" for c in "dlmnrst") if len(coder.ids(w.encode())) == 1]
+    left, right = words[:60], words[60:120]
+    assert len(right) == 60
+    pairs = lambda shift: [f"{left[i]} {right[(i + shift) % 60]}" for i in rng.sample(range(60), 60)]
+    rows = [(i, " ".join(pairs(0))) for i in range(300)]
+    held = [i for i in range(300, 600) if zlib.crc32(str(i).encode()) % 7 == 2][:20]
+    rows += [(i, " ".join(pairs(k % 2 * 7))) for k, i in enumerate(held)]
+    spark.createDataFrame([(*r, None, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    scores = {r.doc_id: r.score for r in QUERIES["op10_lm"](spark, str(tmp_path)).collect()}
+    assert min(scores[i] for i in held[::2]) > max(scores[i] for i in held[1::2]) + 150
+
+
+def test_blocks_of_texts():
+    batch = lambda *rows: pa.record_batch([pa.array(x) for x in zip(*rows)], names=["classes", "edges", "copies"])
+    rows = [(b"aa", b"x", 1), (b"aa", b"x", 2), (b"aa", b"y", 1), (b"bbbb", b"", 1), (b"bbbb", b"", 4), (b"c", b"", 1)]
+    want = [[[b"aa", b"x", 3], [b"aa", b"y", 1]], [[b"bbbb", b"", 5]], [[b"c", b"", 1]]]
+    for cut in range(1, len(rows)):
+        assert list(lm._blocks([batch(*rows[:cut]), batch(*rows[cut:])], 3)) == want
+    assert len(list(lm._blocks([batch(*rows)], math.inf))) == 1 and list(lm._blocks([], 3)) == []
+
+
+def test_weights_of_ids_are_averaged(spark):
+    ids, _, _ = _ids(np.random.default_rng(5))
+    rows, want = [], {name: getattr(ids, name).copy() for name in lm.Ids.NAMES}
+    rng = np.random.default_rng(6)
+    for i, name in enumerate(lm.Ids.NAMES):
+        n, sums = np.zeros(len(want[name])), np.zeros_like(want[name])
+        for shard in range(3):
+            at, met = np.sort(rng.choice(len(n), 5, replace=False)), rng.integers(1, 9, 5)
+            own = rng.normal(0, 1, (5, sums.shape[1])).astype(np.float32)
+            n[at] += met
+            sums[at] += met[:, None] * own
+            rows.append((i, shard, at.astype(np.int64).tobytes(), met.astype(np.int64).tobytes(), own.tobytes()))
+        want[name][n > 0] = sums[n > 0] / n[n > 0, None]
+    df = spark.createDataFrame([(None, None, *r) for r in rows], lm._SHARDS).repartition(2)
+    got = lm._averaged(df, ids)
+    assert all(np.allclose(getattr(got, x), want[x], atol=1e-6) for x in lm.Ids.NAMES)
+
+
 # archives -----------------------------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/", "x"), (2, "http://b/ü", "<p>é</p>"), (3, None, None), (4, "http://c/\r\nX: y", ""), (5, "u", "<p>é</p>"),

@@ -193,7 +193,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = lambda c: F.coalesce(F.crc32(c.cast("string")) % 7 == 2, F.lit(False))
     tokens = lm.tokenise(docs, lm.read_vocabulary(), ~held_out(F.col("doc_id")))
-    model, rare = lm.train(tokens, lm.read_vocabulary())
+    model, rare = lm.train(tokens, lm.read_vocabulary(), by_id=True)
     return lm.score(tokens, model, rare).withColumn("held_out", held_out(F.col("doc_id")))
 
 
