@@ -150,3 +150,35 @@ def test_stored_dimensions_are_zstd(spark, tmp_path):
     for rows in (dim, spark.table(name)):
         assert rows.count() == 3 and all(f.endswith(".zstd.parquet") for f in (x.split("/")[-1].replace(".c000", "") for x in rows.inputFiles()))
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_rides_of_a_driver_and_of_a_booker_lie_together(spark, tmp_path):
+    """What is written of rides compresses by what neighbours share, so parts have few drivers, and no row is lost for it."""
+    from pyspark.sql import functions as F
+
+    from tripmart.workload import inputs
+
+    lines = _ride_lines(spark, 400).withColumn("l_suppkey", F.when(F.col("l_suppkey") < 4, F.hash("l_shipdate") % 100))
+    lines.repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rides = inputs.rides(spark, str(tmp_path))
+    want = inputs.raw_rides(lines)
+    assert sorted(rides.collect(), key=str) == sorted(want.collect(), key=str) and rides.count() == 400
+    placed = rides.where("driver_id IS NOT NULL").select("driver_id", F.spark_partition_id().alias("part"))
+    parts = placed.groupBy("driver_id").agg(F.count_distinct("part").alias("n"))
+    assert parts.where("n > 1").count() <= rides.rdd.getNumPartitions() < parts.count() // 2
+    for order, first in ((inputs.BY_BOOKER, "booker_id"), (inputs.BY_DRIVER, "driver_id")):
+        rows = inputs.rides(spark, str(tmp_path), order).withColumn("part", F.spark_partition_id()).collect()
+        for part in {r.part for r in rows}:
+            ids = [int(r[first][1:]) for r in rows if r.part == part and r[first]]
+            assert ids == sorted(ids)
+
+
+def test_a_hot_driver_is_cut(spark):
+    from pyspark.sql import functions as F
+
+    from tripmart.workload import inputs
+
+    lines = _ride_lines(spark, 2000).withColumn("l_suppkey", F.lit(7))
+    dealt = inputs.gathered(lines, ["l_suppkey", "l_orderkey"], ["l_orderkey"], rows_per_task=250)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 1000 and sum(sizes) == 2000
