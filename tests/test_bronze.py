@@ -305,3 +305,21 @@ def test_csv_under_names_of_patterns_with_long_fields(spark, lake):
     paths = [r.file_path for r in files.list_files(spark, str(lake / "landing")).collect()]
     got = files.read_csv(spark, paths, multi_line=True).collect()
     assert len(got) == 3 and {r._extra["note"] for r in got} == {long} and len({r._source_path for r in got}) == 3
+
+
+def test_gzipped_files_load_as_plain_ones(spark, lake):
+    """Exports may be compressed: the same rows, listed, counted and loaded once."""
+    rows = spark.createDataFrame([ride(f"R{i}", pickup_address='a "b",\nc') for i in range(5)], RIDE)
+    files.write_csv(rows.where("ride_id < 'R2'").coalesce(1), str(lake / "landing/a"), compression="gzip")
+    files.write_csv(rows.where("ride_id = 'R2'").select(*reversed(rows.columns)).coalesce(1), str(lake / "landing/b"))
+    files.write_json(rows.where("ride_id > 'R2'").coalesce(1), str(lake / "landing/c"), compression="gzip")
+    names = [r.file_name for r in files.list_files(spark, str(lake / "landing")).collect()]
+    assert sorted(files.file_format(n) for n in names) == ["csv", "csv", "json"]
+    assert sorted(n.endswith(".gz") for n in names) == [False, True, True]
+    at = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    load = lambda: bronze.load_historical(spark, str(lake / "landing"), str(lake / "rides"), str(lake / "manifest"), at,
+                                          json_lines=True)
+    assert load() and load() is None
+    got = bronze.read_historical(spark, str(lake / "rides"), str(lake / "manifest")).select(*RIDE.fieldNames())
+    assert sorted(got.collect(), key=str) == sorted(rows.collect(), key=str)
+    assert sorted(r.record_count for r in bronze.read_manifest(spark, str(lake / "manifest")).collect()) == [1, 2, 2]

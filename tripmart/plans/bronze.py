@@ -16,7 +16,7 @@ from tripmart.operators.changes import LOADED_AT, detect_changes, not_loaded
 from tripmart.operators.joins import union_feeds
 from tripmart.schemas import REFERENCE, RIDE, reference_key
 from tripmart.sources.files import (
-    FILE_COLUMNS, SOURCE_PATH, count_per_file, list_files, manifest_schema, read_files, read_reference,
+    FILE_COLUMNS, SOURCE_PATH, count_per_file, file_format, list_files, manifest_schema, read_files, read_reference,
     read_table,
 )
 
@@ -62,7 +62,7 @@ def load_historical(spark: SparkSession, landing: str, table: str, manifest: str
     load_id = _load_id(chosen)
     by_format = {"json": [], "csv": []}
     for row in chosen:
-        by_format[row.file_name.rsplit(".", 1)[-1]].append(row.file_path)
+        by_format[file_format(row.file_name)].append(row.file_path)
     parts = [read_files(spark, paths, fmt, schema, multi_line=csv_multi_line if fmt == "csv" else not json_lines)
              for fmt, paths in by_format.items() if paths]
     target = f"{table}/load_id={load_id}"

@@ -40,7 +40,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         raise
 
 
-def list_files(spark: SparkSession, path: str, suffixes: Sequence[str] = ("csv", "json")) -> DataFrame:
+def list_files(spark: SparkSession, path: str, suffixes: Sequence[str] = ("csv", "json", "csv.gz", "json.gz")) -> DataFrame:
     """Files below `path` with one of the suffixes. The content column is pruned, so nothing is opened.
 
     Spark leaves out files of no bytes; they hold nothing to load.
@@ -74,6 +74,11 @@ def select_by_names(listing: DataFrame, names: DataFrame) -> tuple[DataFrame, Da
     return (listing.join(wanted, "file_name", "left_semi"), wanted.join(listing, "file_name", "left_anti"))
 
 
+def file_format(name: str) -> str:
+    """The format that the suffix of a file's name tells, whether it is compressed or not."""
+    return name.removesuffix(".gz").rsplit(".", 1)[-1]
+
+
 def read_files(spark: SparkSession, paths: Sequence[str], fmt: str,
                schema: T.StructType = RIDE, **options) -> DataFrame:
     """Files of one format as rows of `schema` plus the path each came from."""
@@ -184,15 +189,15 @@ def read_reference(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(T.StructType([*schema.fields, *more])).option("multiLine", True).json(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV export: header, every field quoted, quotes doubled, UTF-8; a null is an empty field."""
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
+    """CSV export: header, every field quoted, quotes doubled, UTF-8; a null is an empty field. `compression`: gzip or none."""
     (df.write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"')
-     .option("nullValue", "").option("emptyValue", "").csv(path))
+     .option("nullValue", "").option("emptyValue", "").csv(path, compression=compression))
 
 
-def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON export, one object per line, null fields kept."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists", compression: str | None = None) -> None:
+    """JSON export, one object per line, null fields kept. `compression`: gzip or none."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path, compression=compression)
 
 
 def manifest_schema() -> T.StructType:

@@ -14,7 +14,7 @@ from tripmart.plans import bronze, silver
 from tripmart.schemas import RIDE
 from tripmart.session import work_dir
 from tripmart.sources import files, messages
-from tripmart.workload.inputs import rides, table
+from tripmart.workload.inputs import BY_DRIVER, rides, table
 from tripmart.workload.registry import query
 from tripmart.workload.sql import RIDES, SILVER, with_
 
@@ -206,16 +206,17 @@ def csv_text_roundtrip(spark, sf_dir):
 
 @query(with_(RIDES) + "SELECT *, CASE WHEN ride_status_id = 1 THEN 'csv' ELSE 'json' END AS carrier FROM rides")
 def historical_load(spark, sf_dir):
-    """Completed rides as CSV under two column orders, cancelled ones as JSON; loaded, then asked again."""
-    raw = rides(spark, sf_dir)
+    """Completed rides as CSV under two column orders, cancelled ones as JSON, all gzipped; loaded, then asked again."""
+    raw = rides(spark, sf_dir, BY_DRIVER)
     landing, table_path, manifest = (work_dir(spark, f"historical_{n}") for n in ("landing", "rides", "manifest"))
     done = raw.where("ride_status_id = 1")
-    files.write_csv(done.where("pickup_city_id = dropoff_city_id"), f"{landing}/a")
-    files.write_csv(done.where("pickup_city_id <> dropoff_city_id").select(*reversed(raw.columns)), f"{landing}/b")
-    files.write_json(raw.where("ride_status_id = 2"), f"{landing}/c")
+    files.write_csv(done.where("pickup_city_id = dropoff_city_id"), f"{landing}/a", compression="gzip")
+    files.write_csv(done.where("pickup_city_id <> dropoff_city_id").select(*reversed(raw.columns)), f"{landing}/b",
+                    compression="gzip")
+    files.write_json(raw.where("ride_status_id = 2"), f"{landing}/c", compression="gzip")
     for _ in range(2):
         bronze.load_historical(spark, landing, table_path, manifest, _utc(2024, 1, 1), json_lines=True)
-    carrier = F.regexp_extract(files.SOURCE_PATH, r"\.(csv|json)$", 1).alias("carrier")
+    carrier = F.regexp_extract(files.SOURCE_PATH, r"\.(csv|json)\.gz$", 1).alias("carrier")
     return bronze.read_historical(spark, table_path, manifest).select(*RIDE.fieldNames(), carrier)
 
 
