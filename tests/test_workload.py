@@ -182,3 +182,14 @@ def test_a_hot_driver_is_cut(spark):
     dealt = inputs.gathered(lines, ["l_suppkey", "l_orderkey"], ["l_orderkey"], rows_per_task=250)
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 4 and max(sizes) < 1000 and sum(sizes) == 2000
+
+
+def test_ride_star_moves_the_fact_for_no_proven_small_dimension(spark, sf_dir):
+    """Labels above Spark's threshold are broadcast all the same, so only the line items of the fact are shuffled."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["ride_star"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for key in ("booker_id", "driver_id", "vehicle_id"):
+        assert f"BroadcastHashJoin [{key}" in plan and f"Exchange hashpartitioning({key}" not in plan
