@@ -212,3 +212,20 @@ def test_refresh_with_feeds_that_come_and_go(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{root}/bronze/live_messages").count() == 4
     assert refresh.read_gold(spark, str(root), "dim_ride_option").count() == 1
     assert refresh.read_gold(spark, str(root), "dim_province").count() == 1
+
+
+def test_files_of_a_feed_go_once_they_are_landed(spark, tmp_path):
+    """Batches of bounded bytes; the files of committed batches are deleted, the landed messages are all there."""
+    rides = [ride(f"L{i}", "2026-05-10T10:00:00") for i in range(6)]
+    for r in rides:
+        sent(spark, r).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        feed = messages.file_feed(spark, str(tmp_path / "in"), max_bytes=1, clean=True)
+        start(live.land_messages(feed, str(tmp_path / "out")), str(tmp_path / "cp")).awaitTermination()
+        return sorted(json.loads(r.records)["ride_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == [r["ride_id"] for r in rides]
+    assert len(list((tmp_path / "in").glob("*.parquet"))) <= 2
+    sent(spark, ride("L6", "2026-05-10T11:00:00")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == [*[r["ride_id"] for r in rides], "L6"]

@@ -66,6 +66,11 @@ def stream_hourly(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+#: Bytes of files of a feed that a micro-batch takes; they are deleted when it has been landed, so a feed and its landed copy never lie
+#: on the disk whole at the same time.
+FEED_BATCH = 256_000_000
+
+
 def _land(spark, sf_dir, ours):
     """Messages of rides, and documents as malformed ones, landed by a stream."""
     sent, bronze = work_dir(spark, "live_sent"), work_dir(spark, "live_bronze")
@@ -73,8 +78,8 @@ def _land(spark, sf_dir, ours):
         table(spark, sf_dir, "documents").select(
             *[(F.col("text").cast("binary") if f.name == "value" else F.lit(None).cast(f.dataType)).alias(f.name)
               for f in ENVELOPE.fields])).write.parquet(sent, compression="zstd")
-    start(live.land_messages(messages.file_feed(spark, sent), bronze), work_dir(spark, "live_bronze_checkpoint")
-          ).awaitTermination()
+    feed = messages.file_feed(spark, sent, max_bytes=FEED_BATCH, clean=True)
+    start(live.land_messages(feed, bronze), work_dir(spark, "live_bronze_checkpoint")).awaitTermination()
     return bronze
 
 
@@ -82,7 +87,7 @@ def _land(spark, sf_dir, ours):
        UNION ALL SELECT 'text', count(*) FROM documents""")
 def stream_bronze(spark, sf_dir):
     """Landed messages by kind."""
-    landed = spark.read.parquet(_land(spark, sf_dir, inputs.rides(spark, sf_dir)))
+    landed = spark.read.parquet(_land(spark, sf_dir, inputs.rides(spark, sf_dir, inputs.BY_DRIVER)))
     kind = F.when(F.col("topic") == "rides", "message").otherwise("text")
     return landed.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
