@@ -229,3 +229,15 @@ def test_files_of_a_feed_go_once_they_are_landed(spark, tmp_path):
     assert len(list((tmp_path / "in").glob("*.parquet"))) <= 2
     sent(spark, ride("L6", "2026-05-10T11:00:00")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == [*[r["ride_id"] for r in rides], "L6"]
+
+
+def test_one_batch_of_upserts_is_read_without_a_shuffle(spark, tmp_path):
+    log, target = random_log(10, 60), str(tmp_path / "rows")
+    rows = spark.createDataFrame(log, LOG)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    keyed._append(latest(rows.where("seq < 5"), "k", "seq"), target, 3)
+    first = keyed.read_upserted(spark, target, "k", "seq")
+    assert "Exchange" not in plan(first) and same(first, latest(rows.where("seq < 5"), "k", "seq"))
+    keyed._append(latest(rows.where("seq >= 5"), "k", "seq"), target, 4)
+    both = keyed.read_upserted(spark, target, "k", "seq")
+    assert "Exchange" in plan(both) and same(both, latest(rows, "k", "seq"))

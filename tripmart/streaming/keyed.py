@@ -35,9 +35,19 @@ def upsert_stream(stream: DataFrame, target: str, keys: str | Sequence[str], seq
 
 
 def read_upserted(spark: SparkSession, target: str, keys: str | Sequence[str], sequence: str | Sequence[str]) -> DataFrame | None:
-    """Current rows: the newest per key. Tasks keep one row per key before the shuffle."""
+    """Current rows: the newest per key. Tasks keep one row per key before the shuffle.
+
+    One batch alone holds one row per key already, so nothing is shuffled to read it.
+    """
     found = changes(spark, target)
-    return None if found is None else latest(found, keys, sequence)
+    if found is None or _batches(spark, target, 2) < 2:
+        return found
+    return latest(found, keys, sequence)
+
+
+def _batches(spark: SparkSession, target: str, most: int) -> int:
+    """How many batches with rows there are, up to `most`; no column is read."""
+    return read_table(spark, target, merge=False).select(BATCH).distinct().limit(most).count()
 
 
 def history_stream(stream: DataFrame, target: str) -> DataStreamWriter:

@@ -176,11 +176,12 @@ def lakehouse_refresh(spark, sf_dir):
     root, landing, sent = (work_dir(spark, f"refresh_{n}") for n in ("root", "landing", "sent"))
     raw = inputs.rides(spark, sf_dir)
     # A ride that repeats in both feeds must meet one load time, else the later feed would win.
-    messages.to_messages(raw.where("ride_status_id = 1")).withColumn("timestamp", F.lit(_AT[0])).write.parquet(sent)
-    files.write_csv(raw.where("ride_status_id = 2"), landing)
+    messages.to_messages(raw.where("ride_status_id = 1")).withColumn("timestamp", F.lit(_AT[0])).write.parquet(
+        sent, compression="zstd")
+    files.write_csv(raw.where("ride_status_id = 2"), landing, compression="gzip")
     for load, at in enumerate(_AT):
         mapping = _write_references(spark, sf_dir, load)
-        refresh.refresh(spark, root, landing, mapping, at, messages.file_feed(spark, sent))
+        refresh.refresh(spark, root, landing, mapping, at, messages.file_feed(spark, sent, max_bytes=FEED_BATCH, clean=True))
     out = None
     for name in ["fact_rides", *SCD1_DIMS, *STATIC_DIMS, *SCD2_DIMS]:
         rows = refresh.read_gold(spark, root, name).withColumn("name", F.lit(name))
